@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, token_files
 from .exact_dedup import DigestIndex
 from .scratch import shared_dir
 
@@ -14,12 +16,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return token_files.documents(spark, folder)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
     return index.dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("bench_words").alias("n_words"),
+        F.col("bench_hits").alias("n_hit"),
+        F.size("bench_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("bench_items", ","), 256).alias("items_sha256"),
+        (F.col("bench_hits") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_decontamination": op9_decontamination,
+}
 
 ORACLES = {
     "op7_exact_dedup": r"""
@@ -29,4 +59,33 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+    "op9_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row_id, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        i AS (
+            SELECT CAST(item_id AS VARCHAR) AS item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        item_windows AS (
+            SELECT DISTINCT item_id, k, list_slice(w, s, s + k - 1) AS words
+            FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s
+                  FROM i WHERE len(w) > 0)),
+        lengths AS (SELECT DISTINCT k FROM item_windows),
+        doc_windows AS (
+            SELECT row_id, k, s, list_slice(w, s, s + k - 1) AS words
+            FROM (SELECT row_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, lengths WHERE len(w) >= k)),
+        hits AS (SELECT row_id, s, k, item_id FROM doc_windows JOIN item_windows USING (k, words)),
+        places AS (
+            SELECT row_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT row_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY row_id),
+        items AS (
+            SELECT row_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+            FROM hits GROUP BY row_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN places USING (row_id) LEFT JOIN items USING (row_id)""",
 }
