@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, token_files
+from . import decontaminate, jaccard, line_dedup, token_files
 from .exact_dedup import DigestIndex
 from .scratch import shared_dir
 
@@ -28,6 +28,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(spark, folder)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("line_count").cast("long").alias("n_lines"),
+        F.aggregate("line_runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("n_removed"),
+        F.size("line_runs").cast("long").alias("n_spans"),
+        F.sha2("line_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
     return index.dedup(_table(spark, sf_dir, "documents"))
@@ -45,13 +56,58 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_line_dedup": op2_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLES = {
+    "op2_line_dedup": r"""
+        WITH raw AS (
+            SELECT doc_id, i, lines[i] AS line, regexp_replace(lines[i], '^[\x09\x0B-\x0D\x20]+|[\x09\x0B-\x0D\x20]+$', '', 'g') AS unit
+            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+        units AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS u FROM raw WHERE unit <> ''),
+        pairs AS (
+            SELECT a.doc_id, a.u, min((a.doc_id, a.u)) OVER (PARTITION BY a.unit, b.unit) AS first
+            FROM units a JOIN units b ON a.doc_id = b.doc_id AND b.u = a.u + 1),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest([u, u + 1]) AS u FROM pairs WHERE (doc_id, u) <> first),
+        counted AS (
+            SELECT doc_id, count(*) AS n_lines, count(g.u) AS n_removed FROM units LEFT JOIN gone g USING (doc_id, u) GROUP BY doc_id),
+        spans AS (
+            SELECT doc_id, count(*) AS n_spans FROM gone g
+            WHERE NOT EXISTS (SELECT 1 FROM gone h WHERE h.doc_id = g.doc_id AND h.u = g.u - 1) GROUP BY doc_id),
+        kept AS (
+            SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.i) FILTER (WHERE g.u IS NULL) AS text
+            FROM raw LEFT JOIN units USING (doc_id, i) LEFT JOIN gone g ON g.doc_id = raw.doc_id AND g.u = units.u GROUP BY raw.doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(CASE WHEN n_removed = n_lines THEN '' ELSE coalesce(text, '') END) AS kept_sha256
+        FROM kept LEFT JOIN counted USING (doc_id) LEFT JOIN spans USING (doc_id)""",
+    "op10_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+        reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+        FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "op7_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
@@ -26,11 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most 32 MB, however long they are; a smaller bound of the session stays."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > 32 << 20:
+        spark.conf.set(BATCH_BYTES, str(32 << 20))
+
+
 class Scratch:
     """One run's folder of intermediate tables. drop() removes it once nothing reads them any more."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bounded_batches(spark)
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
