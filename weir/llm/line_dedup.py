@@ -149,7 +149,7 @@ def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: st
 
     here, there = docs.select(names).withColumn(KEY, text_hash), found.withColumnRenamed("doc_id", "weir_id").withColumnRenamed(KEY, "weir_key")
     return (
-        here.join(there, F.col(id_col).cast("long").eqNullSafe(F.col("weir_id")) & (F.col(KEY) == F.col("weir_key")), "left")
+        here.hint("merge").join(there, F.col(id_col).cast("long").eqNullSafe(F.col("weir_id")) & (F.col(KEY) == F.col("weir_key")), "left")
         .select(*names, F.col("starts").alias("weir_starts"))
         .mapInArrow(delete, T.StructType([*given, *ADDED]))
     )
