@@ -211,7 +211,8 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [len(k) for k in keys]
         key = np.concatenate([np.zeros(0, np.int64), *keys])
         at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, a + k) for a, k in zip(batch.column("alone").to_pylist(), sizes, strict=True))])
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.repeat(batch.column("n").to_numpy(), sizes)), pa.array(at.astype(np.int32))], names=["key", "node", "n", "at"])
+        rest = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("node", "n", "alone")]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *rest, pa.array(at.astype(np.int32))], names=["key", "node", "n", "alone", "at"])
 
 
 def _near(percent: int, n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
@@ -256,10 +257,11 @@ def components_of(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
         signed.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("copied")), "classes"
     )
     sets = scratch.save(signed.where("prefix IS NOT NULL").join(classes.select("node"), "node", "left_semi"), "sets")
-    postings = scratch.save(sets.select("node", "n", "alone", "prefix").mapInArrow(_explode, "key long, node long, n int, at int"), "postings")
+    postings = scratch.save(sets.select("node", "n", "alone", "prefix").mapInArrow(_explode, "key long, node long, n int, alone int, at int"), "postings")
 
-    # First round: each list's pivot, the same document for as many lists as may be, against the list.
-    pivot = F.struct(F.xxhash64("node").alias("rank"), "node", "n", "at")
+    # First round: each list's pivot against the list. It is the document with the smallest share of shingles that no
+    # other has: among copies that were each edited in other places, the one that all of them are near to.
+    pivot = F.struct((F.col("alone") / F.col("n")).alias("apart"), F.xxhash64("node").alias("rank"), "node", "n", "at")
     pivots = scratch.save(postings.groupBy("key").agg(F.min(pivot).alias("pivot"), F.max("node").alias("top"), F.min("node").alias("low")).where("top <> low").select("key", "pivot"), "pivots")
     pairs = scratch.save(
         postings.join(pivots, "key")
