@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .scratch import Scratch
+from .scratch import Scratch, prepare
 
 IS_WORD = (B.BYTES >= 0x80) | ((B.LOWER >= 0x61) & (B.LOWER <= 0x7A)) | ((B.BYTES >= 0x30) & (B.BYTES <= 0x39))
 FILTER_BITS = 20
@@ -93,6 +93,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int =
     """docs with the columns of ADDED: the number of words, of words inside an occurring window, one bit for each
     word (packed, first word first), and the ids of the items with occurring windows, as sorted strings."""
     spark = docs.sparkSession
+    prepare(spark)
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))

@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ship
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -28,8 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Rows go to Python in batches of at most 32 MB, however long they are; a smaller bound of the session stays."""
+def prepare(spark: SparkSession) -> None:
+    """For operators that run Python on executors: the package is sent there, and rows go to Python in batches of at
+    most 32 MB, however long they are (a smaller bound of the session stays)."""
+    ship(spark)
     if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > 32 << 20:
         spark.conf.set(BATCH_BYTES, str(32 << 20))
 
@@ -39,7 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        bounded_batches(spark)
+        prepare(spark)
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from . import pretoken
+from .scratch import prepare
 
 WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 NO_ID = -(1 << 63)
@@ -110,6 +111,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards:
     """Encodes all texts and writes the set of files; returns its manifest. folder: one that all executors share.
     shards: at most so many (the session's shuffle partitions, if not given)."""
     spark = docs.sparkSession
+    prepare(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, at = open_fs(folder)
     fs.create_dir(at, recursive=True)
@@ -159,6 +161,7 @@ def read_manifest(folder: str) -> dict:
 def documents(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, and
     with with_ids its ids."""
+    prepare(spark)
     manifest = read_manifest(folder)
     width = manifest["width"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
