@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, labelled, line_dedup, quality, secrets, token_files, toxicity
+from . import decontaminate, jaccard, labelled, line_dedup, pieces, quality, secrets, token_files, toxicity
 from .exact_dedup import DigestIndex
 from .scratch import shared_dir
 
@@ -39,6 +39,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")).drop("text")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
@@ -86,6 +90,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_line_dedup": op2_line_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_secrets": op5_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
