@@ -186,16 +186,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
     return fit(x, np.array([float(r.label == 1) for r in rows]))
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs' columns with score and predicted."""
+def scored(docs: DataFrame, model: Model, threshold: float = 0.5, columns: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs' columns with the score and whether it reaches the threshold, under the names in columns."""
     prepare(docs.sparkSession)
-    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    names = [c for c in docs.columns if c.lower() not in columns]
     docs = docs.select(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t) for t in B.rows(batch.column(batch.schema.get_field_index("text")))]).reshape(-1, len(FEATURES))
             scores = model.score(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, *columns])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))
