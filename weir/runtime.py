@@ -1,4 +1,4 @@
-"""What a session needs before Python functions of this package run on executors."""
+"""What a session needs: the folder all executors share, lineage cut by written tables, and the package on executors."""
 
 from __future__ import annotations
 
@@ -8,11 +8,29 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        own = tempfile.mkdtemp(prefix="weir-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, without the plan that led to it."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once per application: workers need not have it on their path."""
     sc = spark.sparkContext
