@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import shared_dir
 from . import decontaminate, jaccard, labelled, line_dedup, pieces, quality, secrets, suffix_dedup, token_files, toxicity
 from .exact_dedup import DigestIndex
-from .scratch import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,30 +6,16 @@ never a recomputation of the whole chain.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import ship
+from ..runtime import shared_dir, ship
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="weir-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def prepare(spark: SparkSession) -> None:
     """For operators that run Python on executors: the package is sent there, and rows go to Python in batches of at
     most 32 MB, however long they are (a smaller bound of the session stays)."""
@@ -48,8 +34,32 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns the written table."""
+        schema = df.schema
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        del df
+        self._release()
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def save_by(self, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        """The same, dealt into buckets by keys, as many as the session's shuffle partitions: joins and aggregates by
+        these keys read the table without shuffling it."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"weir_{uuid.uuid4().hex}"
+        dealt = df.repartition(buckets, *keys)
+        del df
+        dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", f"{self.path}/{name}").saveAsTable(table)
+        del dealt
+        self._release()
+        found = self.spark.table(table)
+        found.schema  # resolved: what reads it needs the files and no longer the name
+        self.spark.sql(f"DROP TABLE {table}")
+        return found
+
+    def _release(self) -> None:
+        """What was shuffled for a table is garbage once the table is written. Executors keep those files until the
+        driver's JVM has collected the plan that made them, so it is asked to."""
+        gc.collect(0)
+        self.spark._jvm.System.gc()
 
     def drop(self, name: str = "") -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)

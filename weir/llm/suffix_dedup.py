@@ -12,8 +12,10 @@ meet every other. Here texts meet only where they share something, and arrays ar
    windows all but the earliest are repeats.
 4. Repeats cover their bytes, overlaps and all; the rest of each text stays.
 
-Every window has one anchor, and thus one stretch, so each is judged once, against all its equals. Stretches are
-counted by class before they are shuffled, and classes are dealt to shards of about `shard_bytes`. An anchor with more
+Every window has one anchor, and thus one stretch, so each is judged once, against all its equals. Texts are dealt
+once into buckets that all steps read; what is shuffled after that are anchors' hashes, digests of stretches, and the
+bytes of the first stretch of each class of those anchors that have several. Classes are dealt to shards of about
+`shard_bytes`. An anchor with more
 than `most_classes` classes (a common line in ever new surroundings) is not put into one shard: each of its windows is
 keyed by its own digest, and the smallest place of each key found by an aggregate, which no hot anchor can overload.
 
@@ -84,12 +86,9 @@ def _runs_of(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[first].tolist(), np.diff(np.append(first, len(places))).tolist(), strict=True))
 
 
-STRETCHES = f"{ID} long, {HASH} long, anchor long, stretch binary, start int, windows int"
-
-
-def _stretches(anchors: Anchors):
-    """From ID, HASH, text, bits: a row for each stretch of a shared anchor. One that the same text has earlier is
-    a repeat for certain; its row has no stretch."""
+def _index(anchors: Anchors):
+    """From ID, HASH, text, bits: a row for each stretch of a shared anchor, with a digest of its bytes. Windows that
+    the same text has earlier repeat them for certain; their rows have no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,14 +97,39 @@ def _stretches(anchors: Anchors):
                 keys, first, last = anchors.find(data)
                 live = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys)))
                 raw, met = data.tobytes(), set()
+                rows: list[list] = []
                 for key, a, b in zip(keys[live].view(np.int64).tolist(), first[live].tolist(), last[live].tolist(), strict=True):
-                    stretch = raw[a : b + anchors.length]
-                    again = stretch in met
-                    met.add(stretch)
-                    for column, x in zip(out, (doc_id, text_hash, key, None if again else stretch, a, b - a + 1), strict=True):
+                    digest = blake2b(raw[a : b + anchors.length], digest_size=16).digest()
+                    if digest not in met:
+                        met.add(digest)
+                        rows.append([key, digest, a, b - a + 1])
+                    elif rows and rows[-1][1] is None and rows[-1][2] + rows[-1][3] == a:
+                        rows[-1][3] += b - a + 1
+                    else:
+                        rows.append([None, None, a, b - a + 1])
+                for row in rows:
+                    for column, x in zip(out, (doc_id, text_hash, *row), strict=True):
                         column.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[ID, HASH, "anchor", "stretch", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[ID, HASH, "anchor", "digest", "start", "windows"])
+
+    return run
+
+
+def _fetch(length: int):
+    """From ID, HASH, text, wanted: the bytes of each stretch wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], [], []]
+            for doc_id, text_hash, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), B.rows(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                raw = data.tobytes()
+                for w in wanted:
+                    row = (doc_id, text_hash, w["anchor"], raw[w["start"] : w["start"] + w["windows"] + length - 1], w["start"], w["windows"], w["classes"])
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[ID, HASH, "anchor", "stretch", "start", "windows", "classes"])
 
     return run
 
@@ -166,26 +190,38 @@ def _each_window(length: int):
 
 
 def repeats(docs: DataFrame, live: DataFrame, anchors: Anchors, scratch: Scratch, shard_bytes: int, most_classes: int) -> DataFrame:
-    """docs: ID, HASH, text; live: shared()'s bits of them. Returns ID, HASH, start, windows: the runs of windows that
-    repeat an earlier one (a window may be in several rows)."""
+    """docs: ID, HASH, text, in buckets by the two; live: shared()'s bits of them. Returns ID, HASH, start, windows:
+    the runs of windows that repeat an earlier one (a window may be in several rows)."""
     length = anchors.length
-    found = scratch.save(
-        docs.hint("merge").join(live, [ID, HASH]).select(ID, HASH, "text", "bits").mapInArrow(_stretches(anchors), STRETCHES), "stretches"
-    )
     place = F.struct(ID, HASH, "start")
+    index = scratch.save(
+        docs.hint("merge").join(live, [ID, HASH]).select(ID, HASH, "text", "bits").mapInArrow(_index(anchors), f"{ID} long, {HASH} long, anchor long, digest binary, start int, windows int"),
+        "index",
+    )
     classes = scratch.save(
-        found.where("stretch IS NOT NULL").groupBy("anchor", "stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("windows").alias("windows")),
+        index.where("digest IS NOT NULL").groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("windows").alias("windows"), F.max("anchor").alias("anchor")),
         "classes",
     )
-    of_anchor = scratch.save(classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.length("stretch")).alias("bytes")).where("classes > 1"), "several")
+    of_anchor = scratch.save(classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.col("windows") + F.lit(length)).alias("bytes")).where("classes > 1"), "several")
     total = of_anchor.where(F.col("classes") <= most_classes).agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    several = classes.join(of_anchor.select("anchor", "classes"), "anchor").select(f"first.{ID}", f"first.{HASH}", "anchor", "stretch", "first.start", "windows", "classes")
-    sorted_ = (
+    wanted = (
+        classes.join(of_anchor, "anchor")
+        .select(f"first.{ID}", f"first.{HASH}", F.struct("anchor", "first.start", classes["windows"], "classes").alias("one"))
+        .groupBy(ID, HASH)
+        .agg(F.collect_list("one").alias("wanted"))
+    )
+    several = scratch.save(
+        docs.hint("merge").join(wanted, [ID, HASH]).select(ID, HASH, "text", "wanted")
+        .mapInArrow(_fetch(length), f"{ID} long, {HASH} long, anchor long, stretch binary, start int, windows int, classes long"),
+        "stretches",
+    )
+    sorted_ = scratch.save(
         several.where(F.col("classes") <= most_classes)
         .withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         .groupBy("shard")
-        .applyInArrow(_sorted_shard(length), f"{ID} long, {HASH} long, start int, windows int")
+        .applyInArrow(_sorted_shard(length), f"{ID} long, {HASH} long, start int, windows int"),
+        "sorted",
     )
     # The rest, window by window.
     each = scratch.save(
@@ -197,9 +233,9 @@ def repeats(docs: DataFrame, live: DataFrame, anchors: Anchors, scratch: Scratch
     earliest = scratch.save(each.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "first"), "earliest")
     of_hot = each.join(earliest, "window").where(~place.eqNullSafe(F.col("first"))).select(ID, HASH, "start", F.lit(1).alias("windows"))
     # Stretches that repeat their class's first one, in other texts and in their own.
-    first = classes.where("first <> last").select("anchor", "stretch", "first")
-    of_class = found.where("stretch IS NOT NULL").join(first, ["anchor", "stretch"]).where(~place.eqNullSafe(F.col("first"))).select(ID, HASH, "start", "windows")
-    of_self = found.where("stretch IS NULL").select(ID, HASH, "start", "windows")
+    copied = scratch.save(classes.where("first <> last").select("digest", "first"), "copied")
+    of_class = index.where("digest IS NOT NULL").join(copied, "digest").where(~place.eqNullSafe(F.col("first"))).select(ID, HASH, "start", "windows")
+    of_self = index.where("digest IS NULL").select(ID, HASH, "start", "windows")
     return sorted_.union(of_hot).union(of_class).union(of_self)
 
 
@@ -216,10 +252,13 @@ def dedup(docs: DataFrame, length: int = 100, gram: int = 40, shard_bytes: int =
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias(ID),
         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(HASH),
     )
+    keyed = scratch.save_by(keyed, "texts", [ID, HASH])
     texts = keyed.select(ID, HASH, F.col(text_col).alias("text"))
     live = scratch.save(shared(texts, anchors.hashes), "live")
     runs = repeats(texts, live.dropDuplicates([ID, HASH]), anchors, scratch, shard_bytes, most_classes)
     by_doc = scratch.save(runs.groupBy(ID, HASH).agg(F.collect_set(F.struct("start", "windows")).alias("weir_runs")), "runs")
+    for name in ("index", "classes", "several", "stretches", "sorted", "each", "earliest", "copied"):
+        scratch.drop(name)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
