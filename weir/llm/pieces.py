@@ -34,7 +34,7 @@ from . import bytesops as B
 from .scratch import prepare
 
 #: Chunks that a worker remembers; beyond, it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 GROUP_BYTES = 1 << 20
 FILTER_BITS = 20
 SPACE = "▁"
@@ -114,10 +114,10 @@ class Sampler:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.last = np.zeros(1 << 12, np.int64)  # of each chunk, its last node
-        self.first_edge = np.zeros(1 << 14, np.int64)  # of each node; its first node has none
+        self.first_edge = np.zeros(1 << 14, np.int32)  # of each node; its first node has none
         self.piece = np.zeros(1 << 15, np.int32)  # of each edge
-        self.size = np.zeros(1 << 15, np.int32)  # its length in bytes
-        self.upto = np.zeros(1 << 15)  # the probability of it and the edges before it, 1 at a node's last
+        self.size = np.zeros(1 << 15, np.uint8 if max(self.by_length) < 256 else np.int32)  # its length in bytes
+        self.upto = np.zeros(1 << 15, np.float32)  # the probability of it and the edges before it, 1 at a node's last
         self.n_nodes = self.n_edges = 0
 
     def _edges(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +245,7 @@ class Sampler:
         while len(node):
             place = (at - base).astype(B.U64)
             u = (B.mix(salt + place * B.U64(0xD6E8FEB86659FD93)) >> B.U64(11)).astype(np.float64) * 2.0**-53
-            edge = self.first_edge[node]
+            edge = self.first_edge[node].astype(np.int64)
             while len(on := np.flatnonzero(self.upto[edge] <= u)):
                 # The last edge's sum is 1, which no u reaches.
                 more = on
@@ -253,7 +253,7 @@ class Sampler:
                     edge[more] += 1
                     more = more[self.upto[edge[more]] <= u[more]]
             slot[at - 1] = self.piece[edge]
-            size = self.size[edge]
+            size = self.size[edge].astype(np.int64)
             node, at = node - size, at - size
             if len(on := np.flatnonzero(node > first_node)) < len(node):
                 node, first_node, at, salt, base = node[on], first_node[on], at[on], salt[on], base[on]
