@@ -41,7 +41,7 @@ from .components import components
 from .scratch import Scratch
 
 #: A block has at most so many documents (their places take 16 bits) and, but for its last, so many shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 1 << 16, 4 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 1 << 16, 2 << 20
 IS_WORD = ~B.SPACE
 SIGNATURES = "node long, doc_id long, n int, digest binary, alone int, prefix binary, shared binary"
 
