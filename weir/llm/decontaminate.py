@@ -75,7 +75,7 @@ class Windows:
             sums = B.prefix_sums(hashes) if sums is None else sums
             here = B.windows(sums, k)
             maybe = np.flatnonzero(self.filters[k][here >> B.U64(64 - FILTER_BITS)])
-            maybe = maybe[np.isin(here[maybe], known)] if len(maybe) else maybe
+            maybe = maybe[known[np.minimum(np.searchsorted(known, here[maybe]), len(known) - 1)] == here[maybe]]
             for i in maybe.tolist():
                 low = B.LOWER[data] if low is None else low
                 ids = self.items.get(words_between(low, starts, ends, i, k))
