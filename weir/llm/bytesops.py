@@ -6,7 +6,9 @@ ends, times the inverse power of the start. It is then mixed, so any of its bits
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +114,36 @@ def rows(column: pa.Array) -> Iterator[np.ndarray]:
     data, at = utf8(column)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         yield data[a:b]
+
+
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and their leavings would add up."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """run, over the batches of a task, and then release()."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def released_group(run: Callable) -> Callable:
+    """The same of a function of a group's table."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    return wrapped

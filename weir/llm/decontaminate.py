@@ -132,7 +132,7 @@ def _one_pass(spark: SparkSession, docs: DataFrame, items: list, window: int, te
             added = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(ids, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([columns[n] for n in names] + added, names=names + ADDED.names)
 
-    return docs.mapInArrow(run, T.StructType([*given, *ADDED]))
+    return docs.mapInArrow(B.released(run), T.StructType([*given, *ADDED]))
 
 
 def clean(scanned: DataFrame, max_share: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -160,4 +160,4 @@ def clean(scanned: DataFrame, max_share: float = 0.5, text_col: str = "text") ->
             columns[text_col] = pa.array(texts, columns[text_col].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return kept.mapInArrow(run, T.StructType(given))
+    return kept.mapInArrow(B.released(run), T.StructType(given))

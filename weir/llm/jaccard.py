@@ -196,11 +196,11 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         )
 
     return (
-        docs.mapInArrow(deal, "bucket long, block long, kind long, payload binary")
+        docs.mapInArrow(B.released(deal), "bucket long, block long, kind long, payload binary")
         .groupBy("bucket")
-        .applyInArrow(count, "block long, kind long, bucket long, payload binary")
+        .applyInArrow(B.released_group(count), "block long, kind long, bucket long, payload binary")
         .groupBy("block")
-        .applyInArrow(sign, SIGNATURES)
+        .applyInArrow(B.released_group(sign), SIGNATURES)
     )
 
 
@@ -246,7 +246,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c[0], c[1]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("shared").alias(f"{x}_shared")) for x in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_n", "a_shared", "b_n", "b_shared").mapInArrow(check, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_n", "a_shared", "b_n", "b_shared").mapInArrow(B.released(check), "a long, b long")
 
 
 def components_of(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,7 +257,7 @@ def components_of(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
         signed.where("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("copied")), "classes"
     )
     sets = scratch.save(signed.where("prefix IS NOT NULL").join(classes.select("node"), "node", "left_semi"), "sets")
-    postings = scratch.save(sets.select("node", "n", "alone", "prefix").mapInArrow(_explode, "key long, node long, n int, alone int, at int"), "postings")
+    postings = scratch.save(sets.select("node", "n", "alone", "prefix").mapInArrow(B.released(_explode), "key long, node long, n int, alone int, at int"), "postings")
 
     # First round: each list's pivot against the list. It is the document with the smallest share of shingles that no
     # other has: among copies that were each edited in other places, the one that all of them are near to.

@@ -95,13 +95,13 @@ def repeats(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", KEY, "start", "run"])
 
     places = scratch.save(
-        docs.mapInArrow(fingerprints, f"doc_id long, {KEY} long, at int, fingerprint long, lead int, around binary"), "places"
+        docs.mapInArrow(B.released(fingerprints), f"doc_id long, {KEY} long, at int, fingerprint long, lead int, around binary"), "places"
     )
     shared = scratch.save(places.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "shared")
     runs = scratch.save(
         places.join(shared, "fingerprint", "left_semi")
         .select("doc_id", KEY, "at", "fingerprint", "lead", "around")
-        .mapInArrow(extended, f"doc_id long, {KEY} long, start int, run binary"),
+        .mapInArrow(B.released(extended), f"doc_id long, {KEY} long, start int, run binary"),
         "runs",
     )
     place = F.struct("doc_id", KEY, "start")
@@ -151,5 +151,5 @@ def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: st
     return (
         here.hint("merge").join(there, F.col(id_col).cast("long").eqNullSafe(F.col("weir_id")) & (F.col(KEY) == F.col("weir_key")), "left")
         .select(*names, F.col("starts").alias("weir_starts"))
-        .mapInArrow(delete, T.StructType([*given, *ADDED]))
+        .mapInArrow(B.released(delete), T.StructType([*given, *ADDED]))
     )

@@ -294,7 +294,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 5e-4, seed: int = 0, id_c
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, *added], names=names + ADDED.names)
                 first = last
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, *ADDED]))
+    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, *ADDED]))
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame:
@@ -312,4 +312,4 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFr
                 texts.append(vocabulary.decode(ids, np.array([0, len(ids)]))[0].tobytes()[1:].decode())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded_text"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("decoded_text", T.StringType())]))
+    return encoded.mapInArrow(B.released(run), T.StructType([*encoded.schema, T.StructField("decoded_text", T.StringType())]))

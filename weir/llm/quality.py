@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
             found = [features(x).tobytes() for x in B.rows(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
-    rows = sorted(labelled.texts_of(docs, wanted).mapInArrow(run, "doc_id long, label int, found binary").collect())
+    rows = sorted(labelled.texts_of(docs, wanted).mapInArrow(B.released(run), "doc_id long, label int, found binary").collect())
     x = np.array([np.frombuffer(r.found) for r in rows]).reshape(-1, len(FEATURES))
     return fit(x, np.array([float(r.label == 1) for r in rows]))
 
@@ -198,4 +198,4 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5, columns: tuple
             scores = model.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, *columns])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))
+    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytesops as B
 from .scratch import prepare
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -114,7 +115,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + entropy_spans(text or "", base))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*names, "secret_spans"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, *ADDED]))
+    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, *ADDED]))
 
 
 def written(spans, kinds: tuple[str, ...] = KINDS):

@@ -122,9 +122,9 @@ def shared(docs: DataFrame, hashes_of: Callable[[np.ndarray], np.ndarray]) -> Da
         return pa.Table.from_arrays([pa.array(named[some, 0]), pa.array(named[some, 1]), pa.array(packed, pa.binary())], names=[*names, "bits"])
 
     return (
-        docs.mapInArrow(deal, "bucket long, block long, kind long, payload binary")
+        docs.mapInArrow(B.released(deal), "bucket long, block long, kind long, payload binary")
         .groupBy("bucket")
-        .applyInArrow(count, "block long, kind long, unused long, payload binary")
+        .applyInArrow(B.released_group(count), "block long, kind long, unused long, payload binary")
         .groupBy("block")
-        .applyInArrow(settle, f"{names[0]} long, {names[1]} long, bits binary")
+        .applyInArrow(B.released_group(settle), f"{names[0]} long, {names[1]} long, bits binary")
     )

@@ -195,7 +195,7 @@ def repeats(docs: DataFrame, live: DataFrame, anchors: Anchors, scratch: Scratch
     length = anchors.length
     place = F.struct(ID, HASH, "start")
     index = scratch.save(
-        docs.hint("merge").join(live, [ID, HASH]).select(ID, HASH, "text", "bits").mapInArrow(_index(anchors), f"{ID} long, {HASH} long, anchor long, digest binary, start int, windows int"),
+        docs.hint("merge").join(live, [ID, HASH]).select(ID, HASH, "text", "bits").mapInArrow(B.released(_index(anchors)), f"{ID} long, {HASH} long, anchor long, digest binary, start int, windows int"),
         "index",
     )
     classes = scratch.save(
@@ -213,21 +213,21 @@ def repeats(docs: DataFrame, live: DataFrame, anchors: Anchors, scratch: Scratch
     )
     several = scratch.save(
         docs.hint("merge").join(wanted, [ID, HASH]).select(ID, HASH, "text", "wanted")
-        .mapInArrow(_fetch(length), f"{ID} long, {HASH} long, anchor long, stretch binary, start int, windows int, classes long"),
+        .mapInArrow(B.released(_fetch(length)), f"{ID} long, {HASH} long, anchor long, stretch binary, start int, windows int, classes long"),
         "stretches",
     )
     sorted_ = scratch.save(
         several.where(F.col("classes") <= most_classes)
         .withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         .groupBy("shard")
-        .applyInArrow(_sorted_shard(length), f"{ID} long, {HASH} long, start int, windows int"),
+        .applyInArrow(B.released_group(_sorted_shard(length)), f"{ID} long, {HASH} long, start int, windows int"),
         "sorted",
     )
     # The rest, window by window.
     each = scratch.save(
         several.where(F.col("classes") > most_classes)
         .select(ID, HASH, "stretch", "start", "windows")
-        .mapInArrow(_each_window(length), f"window binary, {ID} long, {HASH} long, start int"),
+        .mapInArrow(B.released(_each_window(length)), f"window binary, {ID} long, {HASH} long, start int"),
         "each",
     )
     earliest = scratch.save(each.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "first"), "earliest")
@@ -282,4 +282,4 @@ def dedup(docs: DataFrame, length: int = 100, gram: int = 40, shard_bytes: int =
             arrays = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)][: len(added)]
             yield pa.RecordBatch.from_arrays([columns[n] for n in names] + arrays, names=names + added.names)
 
-    return keyed.hint("merge").join(by_doc, [ID, HASH], "left").select(*names, "weir_runs").mapInArrow(remove, T.StructType([*given, *added]))
+    return keyed.hint("merge").join(by_doc, [ID, HASH], "left").select(*names, "weir_runs").mapInArrow(B.released(remove), T.StructType([*given, *added]))

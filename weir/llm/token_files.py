@@ -142,7 +142,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards:
         .sortWithinPartitions("doc_id", "text")
     )
     # One row for each shard, of four small columns.
-    counts = sorted(ordered.mapInArrow(run, "part long, shard string, n_docs long, n_ids long").collect(), key=lambda r: r.part)
+    counts = sorted(ordered.mapInArrow(B.released(run), "part long, shard string, n_docs long, n_ids long").collect(), key=lambda r: r.part)
     base, listed = 0, []
     for r in counts:
         listed.append({"shard": r.shard, "n_docs": r.n_docs, "n_ids": r.n_ids, "base": base})
@@ -181,4 +181,4 @@ def documents(spark: SparkSession, folder: str, with_ids: bool = False) -> DataF
                     yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     shards = spark.createDataFrame([(s["shard"], s["base"]) for s in manifest["shards"]], "shard string, base long")
-    return shards.repartition(max(1, len(manifest["shards"]))).mapInArrow(run, schema)
+    return shards.repartition(max(1, len(manifest["shards"]))).mapInArrow(B.released(run), schema)

@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positives: int = 2000, most_u
             found = [levels(*hashed(x)).tobytes() for x in B.rows(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(found, pa.binary())], names=["doc_id", "positive", "found"])
 
-    rows = sorted(labelled.texts_of(docs, wanted).mapInArrow(run, "doc_id long, positive boolean, found binary").collect())
+    rows = sorted(labelled.texts_of(docs, wanted).mapInArrow(B.released(run), "doc_id long, positive boolean, found binary").collect())
     found = {kind: [np.frombuffer(r.found, np.int32) for r in rows if r.positive is kind] for kind in (True, False)}
     return fit(found[True], found[False], prior)
 
@@ -204,4 +204,4 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7, columns: tuple
             scores = np.array([model.score(x) for x in B.rows(batch.column(batch.schema.get_field_index("text")))], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, *columns])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))
+    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))
