@@ -87,10 +87,13 @@ class Sampler:
 
     def __init__(self, path: str, alpha: float, seed: int):
         self.vocabulary = Vocabulary(path)
-        # A byte that stands for itself weighs as the rarest piece; what the model never merges has no weight.
-        usable = {piece: i for piece, i in self.vocabulary.ids.items() if self.vocabulary.scores[i] > -1e8}
-        self.log_weights = alpha * self.vocabulary.scores
-        self.log_weights[self.vocabulary.byte_ids] = alpha * min(self.vocabulary.scores[i] for i in usable.values())
+        # What the model never merges is no edge, but single characters always are: they and bytes that stand for
+        # themselves weigh as the rarest piece at least.
+        scores = self.vocabulary.scores
+        least = scores[scores > -1e8].min()
+        self.usable = usable = {piece: i for piece, i in self.vocabulary.ids.items() if scores[i] > -1e8 or len(piece.decode()) == 1}
+        self.log_weights = alpha * np.maximum(scores, least)
+        self.log_weights[self.vocabulary.byte_ids] = alpha * least
         self.seed = B.U64(seed)
         #: Neighbouring bytes that some piece holds; between others, every segmentation has a bound.
         self.joined = np.zeros((256, 256), bool)

@@ -56,13 +56,13 @@ def even_windows(run: str) -> list[tuple[int, int]]:
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += _terms[n + 1] - _terms[n]
         if i >= WINDOW:
             n = counts[gone := run[i - WINDOW]]
             counts[gone] = n - 1
             total += _terms[n - 1] - _terms[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += _terms[n + 1] - _terms[n]
         if i >= WINDOW - 1 and total <= most:
             start = i - WINDOW + 1
             if spans and start <= spans[-1][1]:
