@@ -96,7 +96,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - h] = rank[h:] if h < n else []
         key = (rank << 32) | after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]]))

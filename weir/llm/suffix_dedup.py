@@ -239,7 +239,7 @@ def repeats(docs: DataFrame, live: DataFrame, anchors: Anchors, scratch: Scratch
     return sorted_.union(of_hot).union(of_class).union(of_self)
 
 
-def dedup(docs: DataFrame, length: int = 100, gram: int = 40, shard_bytes: int = 2 << 20, most_classes: int = 2000, id_col: str = "doc_id", text_col: str = "text", kept_bytes: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, gram: int = 40, shard_bytes: int = 1 << 19, most_classes: int = 2000, id_col: str = "doc_id", text_col: str = "text", kept_bytes: bool = False) -> DataFrame:
     """docs with the columns of ADDED: the text's length in bytes, the removed runs as [start, end), and the SHA-256
     of the bytes that are left; with kept_bytes those themselves too, as kept."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
