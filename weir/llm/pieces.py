@@ -296,6 +296,7 @@ def encode(docs: DataFrame, model: str, alpha: float = 5e-4, seed: int = 0, id_c
                 added = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(np.diff(at)), pa.array(crcs, pa.int64()), pa.array(lossless)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, *added], names=names + ADDED.names)
                 first = last
+        encoder._forget()  # idle workers hold nothing
 
     return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, *ADDED]))
 
