@@ -115,6 +115,7 @@ def select(positives: list[np.ndarray], unlabelled: list[np.ndarray], kept: int,
     of_column = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[np.argsort(column, kind="stable")]
     bounds = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=len(usable)))])
     p, u = (np.bincount(np.concatenate([np.zeros(0, np.int32), *x]), minlength=len(usable)).astype(float) for x in (rows[:n_p], rows[n_p:]))
+    whole_p, whole_u = p.copy(), u.copy()
     left, chosen = np.ones(len(rows), bool), []
     while len(chosen) < kept and len(usable):
         share = (p + u) / (n_p + n_u)
@@ -128,10 +129,14 @@ def select(positives: list[np.ndarray], unlabelled: list[np.ndarray], kept: int,
         left[gone] = False
         for count, some in ((p, gone[gone < n_p]), (u, gone[gone >= n_p])):
             count -= np.bincount(np.concatenate([np.zeros(0, np.int32), *(rows[r] for r in some.tolist())]), minlength=len(usable))
-    return np.unique(np.array(chosen, np.int64))
+    # And what telling words go along with almost wherever it stands, if it stands in many positives: telling too.
+    alone = u / np.maximum(whole_u, 1)
+    more = np.flatnonzero((whole_p >= 0.05 * n_p) & (whole_p / n_p > 4 * whole_u / n_u) & (alone <= 0.1))
+    more = more[np.argsort(alone[more] - whole_p[more] / n_p, kind="stable")][: kept - len(chosen)]
+    return np.unique(np.array([*chosen, *(usable[more] >> 1)], np.int64))
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, kept: int = 256, deviations: float = 4.5, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, kept: int = 64, deviations: float = 4.5, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """positives, unlabelled: levels() of each document."""
     present, dense = np.zeros(1 << BITS), np.zeros(1 << BITS)
     if not positives or not unlabelled or prior <= 0:
