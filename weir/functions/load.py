@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +15,3 @@ def fibonacci(n: int) -> int:
 def fib(spark: SparkSession, n: Column) -> Column:
     ship(spark)
     return F.pandas_udf(lambda s: s.map(fibonacci).astype("int64"), "long")(n)
-
-
-def loaded(values: pd.Series, n: int = 17) -> pd.Series:
-    """values, after n-th Fibonacci numbers of work for each."""
-    values.map(lambda _: fibonacci(n))
-    return values
