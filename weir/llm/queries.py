@@ -151,6 +151,23 @@ ORACLES = {
             SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other)
         SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
         FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op3_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        places AS (
+            SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS place
+            FROM (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM d))),
+        repeats AS (
+            SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS apart FROM places WHERE place > 1),
+        spans AS (
+            SELECT doc_id, min(s) AS a, max(s) + 100 AS b
+            FROM (SELECT doc_id, s, sum(apart) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM repeats) GROUP BY doc_id, g),
+        gaps AS (
+            SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS p
+            FROM (SELECT * FROM spans UNION ALL SELECT doc_id, n, n FROM d)),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, d.n - len(kept.h) // 2 AS n_removed, (SELECT count(*) FROM spans WHERE spans.doc_id = d.doc_id) AS n_spans,
+               sha256(unhex(kept.h)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id)""",
     "op7_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
