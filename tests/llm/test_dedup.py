@@ -37,6 +37,7 @@ def test_exact_dedup_of_later_batches(spark, path):
     index = DigestIndex(spark, path, 4)
     first, second = frame(spark, [(5, "a"), (6, "b")]), frame(spark, [(1, "a"), (2, "c"), (3, "c")])
     assert all(r.kept for r in index.dedup(first).collect())
+    index.close()
     again = DigestIndex(spark, path, 4)  # opened from its files
     assert collected(again.dedup(second), "doc_id", "keep_id", "kept") == [(1, 5, False), (2, 2, True), (3, 2, False)]
     assert again.read().count() == 3

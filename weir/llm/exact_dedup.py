@@ -45,6 +45,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        """Takes the index off the session's catalog; its files stay, to be opened again by their path."""
+        self.spark.sql(f"DROP TABLE {self.table}")
+
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds docs' new texts to the index. Returns for each row of docs: doc_id, keep_id, group_size (rows of
         this batch with that text), kept, text_sha256."""

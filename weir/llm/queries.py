@@ -73,7 +73,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
-    return index.dedup(_table(spark, sf_dir, "documents"))
+    found = index.dedup(_table(spark, sf_dir, "documents"))
+    index.close()
+    return found
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
