@@ -89,6 +89,36 @@ def test_line_dedup_runs_and_columns(spark):
     assert line_dedup.dedup(frame(spark, rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_line_dedup_of_long_lines_between_other_neighbours(spark, window):
+    """With long_words, a long line goes from later places whatever stands beside it; a shorter one only in a run."""
+    rng = np.random.default_rng(window)
+    lines = [f"line {k}" for k in range(40)] + ["", " p q r s t u\t", "v  w x y z"]
+    rows = [(i, "\n".join(rng.choice(lines, int(rng.integers(0, 12))))) for i in range(40)] + [(90, "p q r s t u"), (91, None), (None, "new\np q r s t u\nneighbours")]
+    seen, place = {}, lambda i, t, k: (*order(i), t, k)
+    for i, t in rows:
+        for k, u in enumerate(x.strip() for x in (t or "").split("\n") if x.strip()):
+            if len(u.split()) > 4:
+                seen[u] = min(seen.get(u, place(i, t, k)), place(i, t, k))
+    wanted = []
+    without = {(r.doc_id, r.text): r for r in line_dedup.dedup(frame(spark, rows), window).collect()}
+    for i, t in rows:
+        r = without[(i, t)]
+        gone = {k for x in r.line_runs for k in range(x.start, x.end)}
+        found, at = (t or "").split("\n"), -1
+        drop = set()
+        for n, x in enumerate(found):
+            if x.strip():
+                at += 1
+                if at in gone or (x.strip() in seen and seen[x.strip()] != place(i, t, at)):
+                    drop.add(n)
+        wanted.append((i, "" if drop and len(drop) == at + 1 else "\n".join(x for n, x in enumerate(found) if n not in drop)))
+    found = line_dedup.dedup(frame(spark, rows), window, long_words=4)
+    assert collected(found, "doc_id", "line_kept") == sorted(wanted, key=repr)
+    if window > 1:
+        assert collected(found, "doc_id", "line_kept") != collected(line_dedup.dedup(frame(spark, rows), window), "doc_id", "line_kept")
+
+
 def test_selected_places_cover_every_window():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -11,7 +11,8 @@ A unit is a line that is not blank, compared without the ASCII white space at it
    Overlapping and adjoining repeats merge into maximal runs, which are deleted.
 
 So exactly those units go that a window covers which also starts earlier; overlaps count, and windows are judged on
-the input, not on what is left. Places are never paired: a key's smallest place is found by an aggregate that is
+the input, not on what is left. With `long_words`, a unit of more words than that is a run by itself too: it goes
+where it stands earlier, whatever stands beside it. Places are never paired: a key's smallest place is found by an aggregate that is
 partial before the shuffle, and the joins carry one row per place against one per key, which adaptive execution can
 split when a key is hot.
 
@@ -63,36 +64,48 @@ def selected(found: list[bytes], window: int) -> list[int]:
     return out
 
 
-def repeats(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """docs: doc_id, KEY, text. Returns doc_id, KEY, starts: the starts of the windows of units that also start
-    earlier, for each document that has any."""
+def long_units(lines: list[bytes], places: list[int], words: int) -> list[int]:
+    """The units of more than so many words."""
+    return [k for k, i in enumerate(places) if len(lines[i]) > 2 * words and len(lines[i].split()) > words]
+
+
+def repeats(docs: DataFrame, window: int, long_words: int | None, scratch: Scratch) -> DataFrame:
+    """docs: doc_id, KEY, text. Returns doc_id, KEY, found: the start and size of the windows, and of the long units,
+    that also start earlier, for each document that has any."""
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, key, data in zip(ids, keys, B.rows(batch.column(2)), strict=True):
-                found = hashes(*units(data.tobytes()))
+                lines, where = units(data.tobytes())
+                found = hashes(lines, where)
                 for at in selected(found, window):
                     first = max(0, at - window + 1)
                     row = (doc_id, key, at, int.from_bytes(found[at][:8], "big", signed=True), at - first, b"".join(found[first : at + window]))
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
+                for at in long_units(lines, where, long_words) if long_words is not None else ():
+                    # A lead of -1 marks a unit by itself; its fingerprint is another than that of the same unit in windows.
+                    row = (doc_id, key, at, ~int.from_bytes(found[at][:8], "big", signed=True), -1, found[at])
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", KEY, "at", "fingerprint", "lead", "around"])
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for doc_id, key, at, _, lead, around in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 found = [around[i : i + SIZE] for i in range(0, len(around), SIZE)]
-                for s in range(max(0, lead - window + 1), min(lead, len(found) - window) + 1):
-                    if min(range(s, s + window), key=found.__getitem__) == lead:
-                        row = (doc_id, key, at - lead + s, blake2b(b"".join(found[s : s + window]), digest_size=SIZE).digest())
+                size, lead = (1, 0) if lead < 0 else (window, lead)
+                for s in range(max(0, lead - size + 1), min(lead, len(found) - size) + 1):
+                    if min(range(s, s + size), key=found.__getitem__) == lead:
+                        row = (doc_id, key, at - lead + s, size, blake2b(b"".join(found[s : s + size]), digest_size=SIZE).digest())
                         for column, x in zip(out, row, strict=True):
                             column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", KEY, "start", "run"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", KEY, "start", "size", "run"])
 
     places = scratch.save(
         docs.mapInArrow(B.released(fingerprints), f"doc_id long, {KEY} long, at int, fingerprint long, lead int, around binary"), "places"
@@ -101,7 +114,7 @@ def repeats(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     runs = scratch.save(
         places.join(shared, "fingerprint", "left_semi")
         .select("doc_id", KEY, "at", "fingerprint", "lead", "around")
-        .mapInArrow(B.released(extended), f"doc_id long, {KEY} long, start int, run binary"),
+        .mapInArrow(B.released(extended), f"doc_id long, {KEY} long, start int, size int, run binary"),
         "runs",
     )
     place = F.struct("doc_id", KEY, "start")
@@ -113,18 +126,18 @@ def repeats(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         runs.join(firsts, "run")
         .where(~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", KEY)
-        .agg(F.sort_array(F.collect_set("start")).alias("starts"))
+        .agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("found"))
     )
 
 
-def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns of ADDED."""
+def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
+    """docs with the columns of ADDED. long_words: units of more words are runs by themselves (none, if not given)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     given = [f for f in docs.schema if f.name.lower() not in {a.name for a in ADDED}]
     names = [f.name for f in given]
     text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     found = scratch.save(
-        repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias(KEY), F.col(text_col).alias("text")), window, scratch),
+        repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias(KEY), F.col(text_col).alias("text")), window, long_words, scratch),
         "repeats",
     )
 
@@ -132,15 +145,17 @@ def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: st
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             count, runs, kept = [], [], []
-            for data, starts in zip(B.rows(columns[text_col]), columns["weir_starts"].to_pylist(), strict=True):
+            for data, found in zip(B.rows(columns[text_col]), columns["weir_found"].to_pylist(), strict=True):
                 text = data.tobytes()
                 lines, places = units(text)
                 count.append(len(places))
-                if not starts:
+                if not found:
                     runs.append([])
                     kept.append(text.decode())
                     continue
-                gone = B.covered(np.array(starts), window, len(places))
+                gone = np.zeros(len(places), bool)
+                for size in {r["size"] for r in found}:
+                    gone |= B.covered(np.array([r["start"] for r in found if r["size"] == size]), size, len(places))
                 runs.append([{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in B.runs(gone)), strict=True)])
                 drop = {places[i] for i in np.flatnonzero(gone).tolist()}
                 kept.append("" if len(drop) == len(places) else b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode())
@@ -150,6 +165,6 @@ def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: st
     here, there = docs.select(names).withColumn(KEY, text_hash), found.withColumnRenamed("doc_id", "weir_id").withColumnRenamed(KEY, "weir_key")
     return (
         here.hint("merge").join(there, F.col(id_col).cast("long").eqNullSafe(F.col("weir_id")) & (F.col(KEY) == F.col("weir_key")), "left")
-        .select(*names, F.col("starts").alias("weir_starts"))
+        .select(*names, F.col("found").alias("weir_found"))
         .mapInArrow(B.released(delete), T.StructType([*given, *ADDED]))
     )
