@@ -152,6 +152,18 @@ def test_incremental_entropy_equals_counting_anew():
         assert (spans == hit).all()
 
 
+@pytest.mark.parametrize("prefix", ["", "key=", "id_", "X-Sig=", "/a/"])
+def test_hexadecimal_keys_glued_to_a_prefix(prefix):
+    rng = np.random.default_rng(0)
+    for n in (32, 40, 64):
+        for _ in range(30):
+            key = "".join(rng.choice(list("0123456789ABCDEF"), n))
+            found = [(a, b) for a, _, b in secrets.entropy_spans(f"{prefix}{key}/and", [])]
+            if secrets.even_windows(key) and not secrets.allowed(f"{prefix}{key}/and"):
+                assert any(a <= len(prefix) + x and len(prefix) + y <= b for a, b in found for x, y in secrets.even_windows(key)), key
+            assert all(b < c for (_, b), (c, _) in zip(found, found[1:]))
+
+
 ITEMS = [(7, "One two three four five six seven eight nine ten eleven TWELVE"), (12, "short item"), (3, None), (4, ""), (5, "!!"), (12, "short item"), (None, "three four five six seven eight nine ten eleven twelve"), (9, "déjà vu 日本")]
 PASSAGES = [
     (1, "intro short, ITEM outro"), (2, "x ONE two-three four five six seven eight nine ten eleven twelve y"), (3, None), (4, ""), (5, "two three four five six seven eight nine ten"), (6, "short short item item"),

@@ -3,9 +3,10 @@
 Three kinds have a fixed shape: an assignment to a name such as `password`, an access key, and a long hexadecimal
 string. The method adds a fourth, `entropy`: candidates are maximal runs of the characters that keys are written in;
 over a window that slides along a candidate, the Shannon entropy of its characters is kept up to date by two changes
-of counts a step. The places of windows at or above the threshold of the candidate's class (hexadecimal or base 64)
-are merged into spans. A span goes if an allowed shape explains it: a UUID, words joined by signs, an alphabet or
-digits in order, a stretch of one repeated piece, or a placeholder; and if a span of a fixed shape overlaps it.
+of counts a step. The class is each window's own: one of hexadecimal digits alone has their threshold also where a
+prefix or a separator makes its candidate base 64. The places of windows at or above their threshold are merged into
+spans by class. A span goes if an allowed shape explains it: a UUID, words joined by signs, an alphabet or
+digits in order, a stretch of one repeated piece, or a placeholder; and if a span of a fixed shape overlaps it. What is left of a candidate's spans is merged where it overlaps.
 
 Spans are in code points, ends exclusive. Defined cases: null and empty texts have no spans; overlapping matches of one
 kind are leftmost first; columns that the scan adds replace columns of that name.
@@ -50,11 +51,14 @@ _terms = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
 def even_windows(run: str) -> list[tuple[int, int]]:
-    """The merged places of a candidate's windows of high entropy."""
-    bits = HEX_BITS if HEX_CLASS.issuperset(run) else BASE64_BITS
-    most = WINDOW * (log2(WINDOW) - bits) + 1e-9  # sum of c log2 c at that entropy
+    """The merged places of a candidate's windows of high entropy, by class: those of hexadecimal digits alone, and
+    unless the whole candidate is one of them, those of any characters."""
+    most_hex, most = (WINDOW * (log2(WINDOW) - bits) + 1e-9 for bits in (HEX_BITS, BASE64_BITS))  # sums of c log2 c at those entropies
+    whole = HEX_CLASS.issuperset(run)
     counts: dict[str, int] = {}
-    total, spans = 0.0, []
+    total, other = 0.0, -1  # other: the last place of a sign that is no hexadecimal digit
+    of_hex: list[tuple[int, int]] = []
+    of_any: list[tuple[int, int]] = []
     for i, c in enumerate(run):
         if i >= WINDOW:
             n = counts[gone := run[i - WINDOW]]
@@ -63,13 +67,23 @@ def even_windows(run: str) -> list[tuple[int, int]]:
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += _terms[n + 1] - _terms[n]
-        if i >= WINDOW - 1 and total <= most:
+        if c not in HEX_CLASS:
+            other = i
+        if i >= WINDOW - 1:
             start = i - WINDOW + 1
-            if spans and start <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], i + 1)
-            else:
-                spans.append((start, i + 1))
-    return spans
+            if total <= most_hex and other < start:
+                _extend(of_hex, start, i + 1)
+            if total <= most and not whole:
+                _extend(of_any, start, i + 1)
+    return sorted(of_hex + of_any)
+
+
+def _extend(spans: list[tuple[int, int]], start: int, end: int) -> None:
+    """Adds a span that starts at or after the last one's start, or merges it with that."""
+    if spans and start <= spans[-1][1]:
+        spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+    else:
+        spans.append((start, end))
 
 
 def allowed(run: str) -> bool:
@@ -86,15 +100,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    out: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         if allowed(m[0]):
             continue
         for a, b in even_windows(m[0]):
             a, b = a + m.start(), b + m.start()
             if not allowed(text[a:b]) and not any(s < b and a < e for s, _, e in base):
-                out.append((a, 3, b))
-    return out
+                _extend(out, a, b)
+    return [(a, 3, b) for a, b in out]
 
 
 ADDED = T.StructType([T.StructField("secret_spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
