@@ -164,6 +164,17 @@ def test_hexadecimal_keys_glued_to_a_prefix(prefix):
             assert all(b < c for (_, b), (c, _) in zip(found, found[1:]))
 
 
+def test_allowed_pieces_hide_only_windows_they_overlap():
+    key = "q7Zp2Lx9Vb4Nw8Rt3Ky6Hd1Sf5Gj0Mc"
+    for piece in ("/example/of/", "/your_own/", "abcdefghijklmnop/", "0123456789012/", "xxxxxxx/", "/changeme/"):
+        text = piece + key + piece
+        found = secrets.entropy_spans(text, [])
+        assert len(found) == 1 and found[0][0] <= len(piece) and found[0][2] >= len(piece + key), text
+        assert found[0][2] - found[0][0] < len(text)
+    for text in ("abcdefghijklmnopqrstuvwxyz0123456789", "YOUR_API_EXAMPLE_KEY_q7Zp2Lx9Vb4Nw8", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "q7Zp2Lx9Vb4Nw8example8Rt3Ky6Hd1Sf5G"):
+        assert not secrets.entropy_spans(text, []), text
+
+
 ITEMS = [(7, "One two three four five six seven eight nine ten eleven TWELVE"), (12, "short item"), (3, None), (4, ""), (5, "!!"), (12, "short item"), (None, "three four five six seven eight nine ten eleven twelve"), (9, "déjà vu 日本")]
 PASSAGES = [
     (1, "intro short, ITEM outro"), (2, "x ONE two-three four five six seven eight nine ten eleven twelve y"), (3, None), (4, ""), (5, "two three four five six seven eight nine ten"), (6, "short short item item"),

@@ -5,8 +5,10 @@ string. The method adds a fourth, `entropy`: candidates are maximal runs of the
 over a window that slides along a candidate, the Shannon entropy of its characters is kept up to date by two changes
 of counts a step. The class is each window's own: one of hexadecimal digits alone has their threshold also where a
 prefix or a separator makes its candidate base 64. The places of windows at or above their threshold are merged into
-spans by class. A span goes if an allowed shape explains it: a UUID, words joined by signs, an alphabet or
-digits in order, a stretch of one repeated piece, or a placeholder; and if a span of a fixed shape overlaps it. What is left of a candidate's spans is merged where it overlaps.
+spans by class. A span goes if an allowed shape explains all of it, or all of its candidate: a UUID, words joined
+by signs, a stretch of one repeated piece; and if a span of a fixed shape overlaps it. An alphabet or digits in order
+and a placeholder explain only the windows that they overlap. What is left of a candidate's spans is merged where it
+overlaps.
 
 Spans are in code points, ends exclusive. Defined cases: null and empty texts have no spans; overlapping matches of one
 kind are leftmost first; columns that the scan adds replace columns of that name.
@@ -43,8 +45,8 @@ ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[A-Za-z]?[a-z]*([-_/=+][A-Za-z]?[a-z]*)*|[A-Z]+([-_/=+][A-Z]+)*"),  # words, joined by signs
     re.compile(r"(.{1,8}?)\1+.{0,7}"),
-    re.compile(r".*(?i:example|placeholder|changeme|your[-_]|xxxx|0000).*"),
 )
+PLACEHOLDER = re.compile(r"(?i:example|placeholder|changeme|your[-_]|xxxx+|0000+)")
 ORDERED = ("abcdefghijklmnopqrstuvwxyz", "01234567890123456789")
 
 _terms = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
@@ -53,8 +55,11 @@ _terms = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 def even_windows(run: str) -> list[tuple[int, int]]:
     """The merged places of a candidate's windows of high entropy, by class: those of hexadecimal digits alone, and
     unless the whole candidate is one of them, those of any characters."""
+    return [span for a, b in unexplained(run) for span in _even_windows(run[a:b], a, HEX_CLASS.issuperset(run))]
+
+
+def _even_windows(run: str, at: int, whole: bool) -> list[tuple[int, int]]:
     most_hex, most = (WINDOW * (log2(WINDOW) - bits) + 1e-9 for bits in (HEX_BITS, BASE64_BITS))  # sums of c log2 c at those entropies
-    whole = HEX_CLASS.issuperset(run)
     counts: dict[str, int] = {}
     total, other = 0.0, -1  # other: the last place of a sign that is no hexadecimal digit
     of_hex: list[tuple[int, int]] = []
@@ -75,7 +80,7 @@ def even_windows(run: str) -> list[tuple[int, int]]:
                 _extend(of_hex, start, i + 1)
             if total <= most and not whole:
                 _extend(of_any, start, i + 1)
-    return sorted(of_hex + of_any)
+    return sorted((a + at, b + at) for a, b in of_hex + of_any)
 
 
 def _extend(spans: list[tuple[int, int]], start: int, end: int) -> None:
@@ -86,9 +91,25 @@ def _extend(spans: list[tuple[int, int]], start: int, end: int) -> None:
         spans.append((start, end))
 
 
-def allowed(run: str) -> bool:
+def unexplained(run: str) -> list[tuple[int, int]]:
+    """The stretches of a candidate between placeholders and ordered characters that have room for a window."""
     low = run.lower()
-    return any(p.fullmatch(run) for p in ALLOWED) or any(x[i : i + 12] in low for x in ORDERED for i in range(len(x) - 11))
+    cut = [m.span() for m in PLACEHOLDER.finditer(run)]
+    for x in {x[i : i + 12] for x in ORDERED for i in range(len(x) - 11)}:
+        at = low.find(x)
+        while at >= 0:
+            cut.append((at, at + 12))
+            at = low.find(x, at + 1)
+    out, done = [], 0
+    for a, b in [*sorted(cut), (len(run), len(run))]:
+        if a - done >= WINDOW:
+            out.append((done, a))
+        done = max(done, b)
+    return out
+
+
+def allowed(run: str) -> bool:
+    return any(p.fullmatch(run) for p in ALLOWED)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
