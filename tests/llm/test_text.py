@@ -49,6 +49,20 @@ def test_words_encoded_once_equal_whole_texts():
     assert ends.tolist() == np.cumsum([len(reference_ids(t)) + 1 for t in hard]).tolist()
 
 
+def test_added_tokens_in_texts_are_taken_as_the_library_does():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, mark = Tokenizer.from_file(BPE), "<|endoftext|>"
+    texts = ["one<|endoftext|>two", mark, mark * 3, f" {mark} ", f"a  {mark}  b\n{mark}\n\nc", "<|endof", "text|> x", f"<{mark}>", "<|endoftext|", f"é{mark}日本 it's{mark}'s", mark[:-1] + mark, "", f"x {mark}"]
+    data, offsets = utf8(pa.array(texts))
+    ids, ends = pretoken.Encoder(BPE).encode(data, offsets, 0)
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[0] == [505, 50256, 11545]
+    assert ids.tolist() == [x for found in wanted for x in [*found, 0]]
+    assert ends.tolist() == np.cumsum([len(x) + 1 for x in wanted]).tolist()
+
+
 def test_pieces_are_lossless_and_reproducible(spark):
     docs = frame(spark, ROWS)
     found = pieces.encode(docs, MODEL)

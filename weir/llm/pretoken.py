@@ -6,6 +6,9 @@ before it, and never merges across these bounds. Two kinds of places are always
 - before a space that follows a sign which is no white space: no word has a space but as its first character;
 - between an ASCII letter or digit (or a letter of the Latin-1 block) and an ASCII sign other than an apostrophe.
 
+The tokenizer's added tokens, such as an end-of-text mark written out in a text, come before all that: they are found
+first, leftmost and then longest, and each is a piece of its own, as the library takes it.
+
 Texts are cut there, with numpy, for a whole batch at once. The pieces are looked up by their 64-bit hashes in a
 worker's cache, and the tokenizers library encodes those that it hasn't met: a piece of letters alone is one word, so
 the model takes it without the pre-tokenizer's search; others go the whole way. Signs that end in a byte that could
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -45,13 +49,21 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings are ordinary text here
     kinds = json.loads(found.to_str())
     if (kinds["pre_tokenizer"] or {}).get("type") != "ByteLevel" or kinds["normalizer"] or kinds["pre_tokenizer"].get("add_prefix_space"):
         raise ValueError("only byte-level tokenizers without normaliser and added prefix space can be cut into words")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in kinds["added_tokens"]):
+        raise ValueError("only added tokens that match by their own characters alone can be cut out of texts")
     return found
 
 
+@lru_cache(2)
+def _added(path: str) -> re.Pattern[bytes] | None:
+    """Matches the added tokens, at one place the longest."""
+    found = sorted((t["content"].encode() for t in json.loads(_tokenizer(path).to_str())["added_tokens"]), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, found))) if found else None
+
+
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -95,7 +107,7 @@ class Encoder:
     """Encodes batches; holds the pieces it has met."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.added = _tokenizer(path), _added(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -119,11 +131,24 @@ class Encoder:
         self.ids[at : at + n] = np.fromiter((x for ids in found for x in ids), np.uint32, n)
         self.known.update(zip(keys, range(first, first + len(found)), strict=True))
 
+    def _cut_added(self, data: np.ndarray, offsets: np.ndarray, starts_here: np.ndarray) -> None:
+        """Makes each added token in a text one piece."""
+        raw = data.tobytes()
+        if self.added is None or not self.added.search(raw):
+            return
+        for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for m in self.added.finditer(raw, first, last):
+                starts_here[m.start() : m.end()] = False
+                starts_here[m.start()] = True
+                if m.end() < len(raw):
+                    starts_here[m.end()] = True
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """data: the bytes of several texts; offsets: their n + 1 bounds. Returns all ids, with end_id after each
         text, and for each text the number of ids up to and with it."""
         n = len(offsets) - 1
         starts_here = cuts(data)
+        self._cut_added(data, offsets, starts_here)
         starts_here[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(starts_here)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
