@@ -20,6 +20,7 @@ from weir.llm.queries import tokenizer_path
 from weir.llm.scratch import Scratch
 
 REST = "weir_rest"
+DIGEST = "weir_digest"
 
 
 def _aside(docs: DataFrame) -> DataFrame:
@@ -54,9 +55,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.components_of(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.hint("merge").join(copies, "doc_id", "left_anti").select(docs.columns)
+    found = jaccard.components_of(docs, digest=DIGEST)
+    copies = found.where("doc_id <> component_id").select("doc_id", DIGEST).distinct()
+    keyed = jaccard.with_digest(_aside(docs), DIGEST)
+    return _back(keyed.hint("merge").join(copies, ["doc_id", DIGEST], "left_anti"), docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

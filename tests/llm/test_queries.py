@@ -47,6 +47,14 @@ def test_stages_and_run(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_near_copies_go_row_by_row_where_an_id_repeats(spark):
+    copied, own = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, copied), (2, copied + " end"), (2, own), (2, own), (2, ""), (3, None), (None, "no id")]
+    found = corpus_pipeline.keep_one_of_near_copies(spark, frame(spark, rows), SF)
+    assert found.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == sorted((r for r in rows if r[1] != copied + " end"), key=repr)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages_take_awkward_tables(spark, empty):
     docs = frame(spark, awkward()).where("false" if empty else "true")

@@ -35,10 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytesops as B
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, prepare
 
 #: A block has at most so many documents (their places take 16 bits) and, but for its last, so many shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1 << 16, 2 << 20
@@ -249,8 +250,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_n", "a_shared", "b_n", "b_shared").mapInArrow(B.released(check), "a long, b long")
 
 
-def components_of(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def with_digest(docs: DataFrame, name: str, size: int = 5, text_col: str = "text") -> DataFrame:
+    """docs with the digest that components_of gives with `digest`, as a column of that name."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(data, size)[1] for data in B.rows(batch.column(batch.schema.get_field_index(text_col)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, T.StructField(name, T.BinaryType())]))
+
+
+def components_of(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", digest: str | None = None) -> DataFrame:
+    """For each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links). digest: the
+    name of a column for the digest of the row's words (null without words), which tells rows of one id apart."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed = scratch.save(signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), size, percent), "signatures")
     classes = scratch.save(
@@ -300,5 +314,5 @@ def components_of(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     return (
         signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
         .join(of_class, "digest", "left")
-        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *([F.col("digest").alias(digest)] if digest else []))
     )
