@@ -59,9 +59,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *(count(kind).alias(f"n_{kind}") for kind in secrets.KINDS),
+        *(count(kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]),
         F.sha2(secrets.written("secret_spans", secrets.KINDS[:3]), 256).alias("base_sha256"),
         secrets.written("secret_spans").alias("spans"),
+        count("entropy").alias("n_entropy"),
     )
 
 

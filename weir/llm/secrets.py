@@ -17,6 +17,7 @@ kind are leftmost first; columns that the scan adds replace columns of that name
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import log2
 
@@ -43,7 +44,8 @@ HEX_CLASS = frozenset("0123456789abcdefABCDEF")
 
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]?[a-z]*([-_/=+][A-Za-z]?[a-z]*)*|[A-Z]+([-_/=+][A-Z]+)*"),  # words, joined by signs
+    # Words, joined by signs; each place can match in one way only, so a long failing run costs no more than its length.
+    re.compile(r"[A-Z]?[a-z]*(?:[-_/=+][A-Z]?[a-z]*)*|[A-Z]+(?:[-_/=+][A-Z]+)*"),
     re.compile(r"(.{1,8}?)\1+.{0,7}"),
 )
 PLACEHOLDER = re.compile(r"(?i:example|placeholder|changeme|your[-_]|xxxx+|0000+)")
@@ -121,13 +123,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """base: by start."""
     out: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for s, _, e in base:
+        _extend(taken, s, e)
+    ends = [e for _, e in taken]
     for m in CANDIDATE.finditer(text):
         if allowed(m[0]):
             continue
         for a, b in even_windows(m[0]):
             a, b = a + m.start(), b + m.start()
-            if not allowed(text[a:b]) and not any(s < b and a < e for s, _, e in base):
+            at = bisect_right(ends, a)  # the first stretch of base spans that ends after a
+            if (at == len(taken) or taken[at][0] >= b) and not allowed(text[a:b]):
                 _extend(out, a, b)
     return [(a, 3, b) for a, b in out]
 
