@@ -43,7 +43,7 @@ _powers = [np.ones(1, U64), np.ones(1, U64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse for i up to n at least."""
     if len(_powers[0]) <= n:
-        size = max(1 << 14, 1 << int(n + 1).bit_length())
+        size = max(1 << 14, n + 1 + n // 4)
         for k, x in enumerate((BASE, INVERSE)):
             run = np.full(size, x, U64)
             run[0] = 1
@@ -123,6 +123,7 @@ def _trim() -> Callable[[int], int] | None:
 
 def release() -> None:
     """Gives freed memory back to the system: workers outlive their tasks, and their leavings would add up."""
+    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
     pa.default_memory_pool().release_unused()
     if trim := _trim():
         trim(0)

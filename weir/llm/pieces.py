@@ -20,6 +20,7 @@ the same pieces; a null key counts as 0; columns that are added replace columns
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,9 +34,14 @@ from pyspark.sql import types as T
 from . import bytesops as B
 from .scratch import prepare
 
-#: Chunks that a worker remembers; beyond, it starts afresh.
-REMEMBERED = 150_000
-GROUP_BYTES = 1 << 20
+#: Chunks that a worker remembers, and their bytes; beyond either, it starts afresh.
+REMEMBERED, REMEMBERED_BYTES = 100_000, 3 << 18
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 1 << 19
+#: Chunks are sampled in stretches of at most so many bytes; a longer chunk is sampled by itself.
+STRETCH = 1 << 17
+#: Stretches of a longer chunk, whose places are Python objects.
+LONG_STRETCH = 1 << 13
 FILTER_BITS = 20
 SPACE = "▁"
 
@@ -74,6 +80,16 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.ends = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes])])
 
+    def spells(self, ids: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the pieces, without the space before them, are this text; a stretch at a time."""
+        at = -1 if len(ids) else 0
+        for k in range(0, len(ids), STRETCH):
+            part = self.decode(ids[k : k + STRETCH], np.zeros(1, np.int64))[0]
+            if not np.array_equal(part[max(0, -at) :], text[max(0, at) : at + len(part)]):
+                return False
+            at += len(part)
+        return at == len(text)
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of several texts' pieces and each text's bounds in them, the space before each still there."""
         lengths = self.ends[ids + 1] - self.ends[ids]
@@ -116,11 +132,12 @@ class Sampler:
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
+        self.n_bytes = 0
         self.last = np.zeros(1 << 12, np.int64)  # of each chunk, its last node
         self.first_edge = np.zeros(1 << 14, np.int32)  # of each node; its first node has none
         self.piece = np.zeros(1 << 15, np.int32)  # of each edge
         self.size = np.zeros(1 << 15, np.uint8 if max(self.by_length) < 256 else np.int32)  # its length in bytes
-        self.upto = np.zeros(1 << 15, np.float32)  # the probability of it and the edges before it, 1 at a node's last
+        self.upto = np.zeros(1 << 15)  # the probability of it and the edges before it, 1 at a node's last
         self.n_nodes = self.n_edges = 0
 
     def _edges(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,12 +213,14 @@ class Sampler:
         last = self.n_nodes + np.cumsum(lengths + 1) - 1
         for name, values, at in (("last", last, n), ("first_edge", first_edge, self.n_nodes), ("piece", piece[order], self.n_edges), ("size", size[order], self.n_edges), ("upto", upto[order], self.n_edges)):
             old = getattr(self, name)
-            while len(old) < at + len(values):
-                old = np.concatenate([old, np.zeros_like(old)])
+            if len(old) < at + len(values):
+                more = np.zeros(max(at + len(values), len(old) + len(old) // 4) - len(old), old.dtype)
+                old = np.concatenate([old, more])
             old[at : at + len(values)] = values
             setattr(self, name, old)
         self.n_nodes += n_nodes
         self.n_edges += len(order)
+        self.n_bytes += len(text)
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,51 +237,131 @@ class Sampler:
         own = np.ones(total, bool)
         own[begin[some]] = False
         text[own] = data[offsets[0] : offsets[-1]]
+        del own
         cut = np.zeros(total, bool)
-        cut[1:] = ~self.joined.ravel()[(text[:-1].astype(np.int32) << 8) | text[1:]]
+        for a in range(1, total, STRETCH):
+            b = min(total, a + STRETCH)
+            cut[a:b] = ~self.joined.ravel()[(text[a - 1 : b - 1].astype(np.int32) << 8) | text[a:b]]
         cut[begin[some]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], total)
+        salts = B.mix(keys[some].astype(B.U64) * B.U64(B.BASE) + self.seed)
+        bounds, found, n_done, first = np.zeros(len(sizes) + 1, np.int64), [], 0, 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + STRETCH, "right")))
+            low, high = int(starts[first]), int(ends[last - 1])
+            row = np.searchsorted(begin[some], starts[first:last], "right") - 1
+            # Places count from the text's own beginning, so that a row's numbers don't depend on its batch.
+            before = low - begin[some][row]
+            if high - low > STRETCH:
+                slot = self._sample_long(text[low:high], salts[row[0]], int(before[0]))
+            else:
+                slot = self._sample(text[low:high], starts[first:last] - low, ends[first:last] - low, salts[row], before)
+            here = slot >= 0
+            a, b = np.searchsorted(begin, [low, high])
+            bounds[a:b] = n_done + np.concatenate([[0], np.cumsum(here)])[begin[a:b] - low]
+            found.append(slot[here])
+            n_done += len(found[-1])
+            first = last
+        bounds[np.searchsorted(begin, total) :] = n_done
+        return np.concatenate(found), bounds
+
+    def _sample(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """For each byte of some chunks the piece that ends with it, or -1. salt and before: for each chunk its row's
+        salt, and how many bytes of its text stand before this stretch of bytes (fewer than none, if it begins in it)."""
         hashes = B.mix(B.span(B.prefix_sums(B.SYMBOL[text]), starts, ends) + (ends - starts).astype(B.U64))
         codes, distinct = pd.factorize(hashes)
-        if len(self.known) + len(distinct) > REMEMBERED:
+        entry = self._known(distinct)
+        missing = np.flatnonzero(entry < 0)
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        lengths = (ends - starts)[first]
+        if len(self.known) + len(missing) > REMEMBERED or self.n_bytes + int(lengths[missing].sum()) > REMEMBERED_BYTES:
             self._forget()
-        get = self.known.get
-        entry = np.array([get(k, -1) for k in distinct.tolist()], np.int64)
-        if len(missing := np.flatnonzero(entry < 0)):
-            first = np.zeros(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            at = first[missing]
+            missing = np.arange(len(distinct))
+        if len(missing):
+            n = lengths[missing]
             entry[missing] = np.arange(len(self.known), len(self.known) + len(missing))
-            lengths = ends[at] - starts[at]
-            source = np.arange(lengths.sum()) + np.repeat(starts[at] - (np.cumsum(lengths) - lengths), lengths)
-            self._learn(distinct[missing].tolist(), text[source], lengths)
+            source = np.arange(n.sum()) + np.repeat(starts[first[missing]] - (np.cumsum(n) - n), n)
+            self._learn(distinct[missing].tolist(), text[source], n)
         node = self.last[entry[codes]]
         first_node = node - (ends - starts)
-        # Places count from the text's own beginning, so that a row's numbers don't depend on its batch.
-        row = np.searchsorted(begin[some], starts, "right") - 1
-        salt = B.mix(keys[some].astype(B.U64) * B.U64(B.BASE) + self.seed)[row]
-        base = begin[some][row]
         at = ends.copy()
-        slot = np.full(total, -1, np.int32)
+        slot = np.full(len(text), -1, np.int32)
         while len(node):
-            place = (at - base).astype(B.U64)
-            u = (B.mix(salt + place * B.U64(0xD6E8FEB86659FD93)) >> B.U64(11)).astype(np.float64) * 2.0**-53
+            u = uniform(salt, at + before)
             edge = self.first_edge[node].astype(np.int64)
-            while len(on := np.flatnonzero(self.upto[edge] <= u)):
-                # The last edge's sum is 1, which no u reaches.
-                more = on
-                while len(more):
-                    edge[more] += 1
-                    more = more[self.upto[edge[more]] <= u[more]]
+            more = np.flatnonzero(self.upto[edge] <= u)
+            while len(more):  # a node's last edge has 1, which no u reaches
+                edge[more] += 1
+                more = more[self.upto[edge[more]] <= u[more]]
             slot[at - 1] = self.piece[edge]
             size = self.size[edge].astype(np.int64)
             node, at = node - size, at - size
             if len(on := np.flatnonzero(node > first_node)) < len(node):
-                node, first_node, at, salt, base = node[on], first_node[on], at[on], salt[on], base[on]
-        here = slot >= 0
-        done = np.concatenate([[0], np.cumsum(here)])
-        return slot[here], done[np.append(begin, total)]
+                node, first_node, at, salt, before = node[on], first_node[on], at[on], salt[on], before[on]
+        return slot
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        get = self.known.get
+        return np.array([get(k, -1) for k in keys.tolist()], np.int64)
+
+    def _sample_long(self, text: np.ndarray, salt: np.uint64, before: int) -> np.ndarray:
+        """The same of one chunk of any length, which isn't remembered: its places are filtered stretch by stretch,
+        keeping only what the next stretch needs, and filtered again on the way back, when they are drawn."""
+        n, slot = len(text), np.full(len(text), -1, np.int32)
+        bounds = [0]
+        while bounds[-1] < n:
+            end = min(n, bounds[-1] + LONG_STRETCH)
+            while end < n and text[end] & 0xC0 == 0x80:
+                end += 1
+            bounds.append(end)
+        totals, carried = {0: 0.0}, []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            carried.append(totals)
+            totals = self._filtered(text, a, b, totals, None)
+        node = n
+        for a, b, totals in zip(bounds[-2::-1], bounds[:0:-1], carried[::-1], strict=True):
+            edges: dict[int, list[tuple[float, int, int]]] = {}
+            self._filtered(text, a, b, totals, edges)
+            u = uniform(np.full(b - a, salt), np.arange(a + 1, b + 1) + before).tolist()
+            while node > a:
+                whole, drawn = sum(e[0] for e in edges[node]), 0.0
+                for part, size, piece in edges[node]:
+                    drawn += part
+                    if drawn > u[node - a - 1] * whole:
+                        break
+                slot[node - 1] = piece
+                node -= size
+        return slot
+
+    def _filtered(self, text: np.ndarray, a: int, b: int, totals: dict[int, float], edges: dict | None) -> dict[int, float]:
+        """Forward filtering of places a + 1 to b. totals: of the places up to a that an edge can start from. Returns
+        those for the next stretch. edges: gets (weight, size, piece) of the edges into each place, short ones first."""
+        low = max(0, a - max(self.by_length))
+        while text[low] & 0xC0 == 0x80:
+            low -= 1
+        start, size, piece = self._edges(text[low:b], b - low - np.arange(b - low))
+        on = np.flatnonzero(start + size + low > a)
+        on = on[np.lexsort((size[on], start[on] + size[on]))]
+        to = start[on] + size[on] + low
+        rows = list(zip(size[on].tolist(), piece[on].tolist(), self.log_weights[piece[on]].tolist(), strict=True))
+        ends = np.searchsorted(to, np.arange(a + 1, b + 2)).tolist()
+        totals = dict(totals)
+        for k, place in enumerate(range(a + 1, b + 1)):
+            into = [(totals.get(place - n, -math.inf) + w, n, i) for n, i, w in rows[ends[k] : ends[k + 1]]]
+            top = max((x[0] for x in into), default=-math.inf)
+            if top > -math.inf:
+                parts = [(math.exp(w - top), n, i) for w, n, i in into]
+                totals[place] = top + math.log(sum(x[0] for x in parts))
+                if edges is not None:
+                    edges[place] = parts
+        return {place: total for place, total in totals.items() if place >= b - max(self.by_length)}
+
+
+def uniform(salt: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number from 0 to below 1 for each place of a row."""
+    return (B.mix(salt + place.astype(B.U64) * B.U64(0xD6E8FEB86659FD93)) >> B.U64(11)).astype(np.float64) * 2.0**-53
 
 
 @lru_cache(1)
@@ -287,12 +386,9 @@ def encode(docs: DataFrame, model: str, alpha: float = 5e-4, seed: int = 0, id_c
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + GROUP_BYTES, "right")) - 1)
                 given, bounds = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
                 ids, at = encoder.encode(given, bounds, keys[first:last])
-                back, ends = encoder.vocabulary.decode(ids, at)
-                lossless, crcs = [], []
-                for r in range(last - first):
-                    text = back[ends[r] + 1 : ends[r + 1]] if bounds[r + 1] > bounds[r] else back[ends[r] : ends[r + 1]]
-                    lossless.append(np.array_equal(text, given[bounds[r] : bounds[r + 1]]))
-                    crcs.append(zlib.crc32(ids[at[r] : at[r + 1]].astype("<i4").data))
+                each = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                lossless = [encoder.vocabulary.spells(x, given[a:b]) for x, a, b in zip(each, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                crcs = [zlib.crc32(x.astype("<i4", copy=False).data) for x in each]
                 added = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(np.diff(at)), pa.array(crcs, pa.int64()), pa.array(lossless)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, *added], names=names + ADDED.names)
                 first = last

@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import shared_dir, ship
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """For operators that run Python on executors: the package is sent there, and rows go to Python in batches of at
-    most 32 MB, however long they are (a smaller bound of the session stays)."""
+    most 8 MB, however long they are (a smaller bound of the session stays)."""
     ship(spark)
-    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > 32 << 20:
-        spark.conf.set(BATCH_BYTES, str(32 << 20))
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
 
 
 class Scratch:
