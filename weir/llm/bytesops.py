@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,11 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
+#: Texts longer than this are worked on in stretches of so many bytes, or of so many words.
+STRETCH = 1 << 18
+#: Stretches of bytes longer than this are hashed by BLAKE2.
+LONG = 256
+
 BYTES = np.arange(256, dtype=np.uint8)
 #: A-Z become a-z; every other byte stays.
 LOWER = np.where((BYTES >= 0x41) & (BYTES <= 0x5A), BYTES + 32, BYTES).astype(np.uint8)
@@ -85,12 +91,36 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Mixed hashes of ascending, disjoint stretches of bytes, a stretch of them at a time. Long ones, for which a
+    polynomial modulo 2**64 has strings that collide, are hashed by BLAKE2."""
+    out = np.zeros(len(starts), U64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + STRETCH, "right")))
+        a, b = starts[first:last], ends[first:last]
+        low = a[0]
+        if last > first + 1 or b[0] - low <= LONG:
+            out[first:last] = mix(span(prefix_sums(symbols[data[low : b[-1]]]), a - low, b - low) + (b - a).astype(U64))
+        for k in np.flatnonzero(b - a > LONG).tolist():
+            raw = data[a[k] : b[k]]
+            out[first + k] = int.from_bytes(blake2b(LOWER[raw] if symbols is SYMBOL_LOWER else raw.tobytes(), digest_size=8).digest(), "little")
+        first = last
+    return out
+
+
 def word_hashes(data: np.ndarray, is_word: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the runs of bytes that is_word holds for."""
     starts, ends = runs(is_word[data])
-    if not len(starts):
-        return starts, ends, np.zeros(0, U64)
-    return starts, ends, mix(span(prefix_sums(symbols[data]), starts, ends) + (ends - starts).astype(U64))
+    return starts, ends, hashes(data, starts, ends, symbols)
+
+
+def windows_of(symbols: np.ndarray, k: int) -> np.ndarray:
+    """windows() of 64-bit symbols, a stretch at a time."""
+    n = len(symbols) - k + 1
+    if n <= STRETCH:
+        return windows(prefix_sums(symbols), k)
+    return np.concatenate([windows(prefix_sums(symbols[a : min(a + STRETCH, n) + k - 1]), k) for a in range(0, n, STRETCH)])
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

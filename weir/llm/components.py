@@ -3,7 +3,10 @@
 In a round each node points to the smallest of its neighbours and itself, pointers are doubled until they end in
 roots, and edges are redrawn between roots. Nodes with an edge at least halve in each round, so rounds are as many as
 the logarithm of the largest component at most; chains are doubled, so long ones take few joins. All state is written
-tables; the driver sees only whether rows are left.
+tables; the driver sees only whether rows are left. After 64 rounds, which no table can need, it fails.
+
+Defined cases: edges of a node to itself don't count; repeated edges are one; an empty table has no nodes; a null end
+is no node.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ def _pointed(pointers: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         )
         if pointers.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError("pointers are longer than 64 doublings follow")
     return pointers.select("node", "root")
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """edges: (a, b). Returns (node, root) for each node that has an edge to another, root being one node of its
     component, the same for all of them (roots themselves included)."""
-    edges = edges.where("a <> b")
+    edges = edges.where("a <> b")  # nulls go too
     levels: list[DataFrame] = []
     for k in range(64):
         if edges.isEmpty():
@@ -48,6 +53,8 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
             edges.join(to_a, "a").join(to_b, "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(),
             f"{label}-{k}-edges",
         )
+    else:
+        raise RuntimeError("edges are left after 64 contractions")
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

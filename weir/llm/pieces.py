@@ -2,8 +2,8 @@
 
 A text's segmentations are the paths of a lattice whose edges are the vocabulary's pieces; a path's probability is
 proportional to exp(alpha * the sum of its pieces' scores). Forward filtering sums, for each place, the weights of all
-paths up to it; backward sampling then draws the last piece in proportion, the one before it, and so on, which is an
-exact draw from all segmentations. The random numbers are a hash of the seed, the row's key and the place in its text:
+paths up to it; backward sampling then draws the last piece in proportion, the one before it, and so on, which is a
+draw from all segmentations, exact to double precision. The random numbers are a hash of the seed, the row's key and the place in its text:
 a row gets the same pieces in whatever batch, partition or attempt it is encoded.
 
 The lattice falls apart wherever two bytes meet that no piece holds next to each other: before most spaces and signs,
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .scratch import prepare
+from .scratch import columns, mapped, prepare, without
 
 #: Chunks that a worker remembers, and their bytes; beyond either, it starts afresh.
 REMEMBERED, REMEMBERED_BYTES = 100_000, 3 << 18
@@ -269,7 +269,7 @@ class Sampler:
     def _sample(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray, before: np.ndarray) -> np.ndarray:
         """For each byte of some chunks the piece that ends with it, or -1. salt and before: for each chunk its row's
         salt, and how many bytes of its text stand before this stretch of bytes (fewer than none, if it begins in it)."""
-        hashes = B.mix(B.span(B.prefix_sums(B.SYMBOL[text]), starts, ends) + (ends - starts).astype(B.U64))
+        hashes = B.hashes(text, starts, ends, B.SYMBOL)
         codes, distinct = pd.factorize(hashes)
         entry = self._known(distinct)
         missing = np.flatnonzero(entry < 0)
@@ -373,8 +373,8 @@ def encode(docs: DataFrame, model: str, alpha: float = 5e-4, seed: int = 0, id_c
     """docs with the columns of ADDED: the sampled pieces, how many, their CRC-32 as little-endian 32-bit integers,
     and whether decoding them gives the text back."""
     prepare(docs.sparkSession)
-    names = [c for c in docs.columns if c.lower() not in {f.name for f in ADDED}]
-    docs = docs.select(names)
+    names = without(docs, *ADDED.names)
+    docs = docs.select(columns(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = sampler(model, alpha, seed)
@@ -394,14 +394,14 @@ def encode(docs: DataFrame, model: str, alpha: float = 5e-4, seed: int = 0, id_c
                 first = last
         encoder._forget()  # idle workers hold nothing
 
-    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, *ADDED]))
+    return mapped(docs, run, T.StructType([*docs.schema, *ADDED]))
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFrame:
     """encoded with decoded_text, from the pieces alone; null pieces decode to the empty text."""
     prepare(encoded.sparkSession)
-    names = [c for c in encoded.columns if c.lower() != "decoded_text"]
-    encoded = encoded.select(names)
+    names = without(encoded, "decoded_text")
+    encoded = encoded.select(columns(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sampler(model, 0.0, 0).vocabulary
@@ -412,4 +412,4 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "piece_ids") -> DataFr
                 texts.append(vocabulary.decode(ids, np.array([0, len(ids)]))[0].tobytes()[1:].decode())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded_text"])
 
-    return encoded.mapInArrow(B.released(run), T.StructType([*encoded.schema, T.StructField("decoded_text", T.StringType())]))
+    return mapped(encoded, run, T.StructType([*encoded.schema, T.StructField("decoded_text", T.StringType())]))

@@ -94,6 +94,11 @@ def cuts(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data), bool)
     if len(data) < 2:
         return out
+    if len(data) > 2 * B.STRETCH:  # each stretch with the two bytes before it
+        for a in range(0, len(data), B.STRETCH):
+            low = max(0, a - 2)
+            out[a : a + B.STRETCH] = cuts(data[low : a + B.STRETCH])[a - low :]
+        return out
     before, here = data[:-1], data[1:]
     pair = np.zeros(len(before), bool)  # ends a two-byte character that is no white space
     pair[1:] = _two_byte[before[:-1]]
@@ -146,14 +151,29 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """data: the bytes of several texts; offsets: their n + 1 bounds. Returns all ids, with end_id after each
         text, and for each text the number of ids up to and with it."""
-        n = len(offsets) - 1
         starts_here = cuts(data)
         self._cut_added(data, offsets, starts_here)
         starts_here[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(starts_here)
+        if len(offsets) > 2 or len(data) <= 2 * B.STRETCH:
+            return self._encode(data, offsets, end_id, starts)
+        # One long text, in stretches that begin where a piece does.
+        begins = [0]
+        while begins[-1] < len(data):
+            at = int(np.searchsorted(starts, begins[-1] + B.STRETCH))
+            begins.append(int(starts[at]) if at < len(starts) else len(data))
+        parts = []
+        for a, b in zip(begins, begins[1:], strict=False):
+            here = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a
+            parts.append(self._encode(data[a:b], np.array([0, b - a]), end_id, here)[0][:-1])
+        ids = np.append(np.concatenate(parts), np.uint32(end_id))
+        return ids, np.array([len(ids)])
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         if len(starts):
-            hashes = B.mix(B.span(B.prefix_sums(B.SYMBOL[data]), starts, ends) + (ends - starts).astype(B.U64))
+            hashes = B.hashes(data, starts, ends, B.SYMBOL)
             codes, keys = pd.factorize(hashes)
             if len(self.known) + len(keys) > REMEMBERED:
                 self._forget()

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import bytesops as B
 from . import labelled
-from .scratch import prepare
+from .scratch import column, mapped, prepare, without
 
 #: A byte's kind: 0 lower-case letter, 1 upper-case letter, 2 digit, 3 space, 4 line feed, 5 other white space or
 #: control, 6 mark of a sentence, 7 other sign, 8 first byte of a character beyond ASCII, 9 later byte of one.
@@ -56,28 +56,37 @@ def features(data: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return out
-    of_byte = np.bincount(data, minlength=256)
+    of_byte = sum(np.bincount(data[a : a + B.STRETCH], minlength=256) for a in range(0, n, B.STRETCH))
     kinds = np.bincount(KIND, of_byte, KINDS)
     starts, ends, words = B.word_hashes(data, ~B.SPACE, B.SYMBOL)
     size = ends - starts
     n_words = max(1, len(words))
     counts = np.unique(words, return_counts=True)[1] if len(words) else np.zeros(1)
     share = of_byte[of_byte > 0] / n
-    lines = B.runs(data != 0x0A)
-    sums = B.prefix_sums(B.SYMBOL[data])
-    line_hashes = B.span(sums, *lines) if len(lines[0]) else lines[0]
-    same = np.flatnonzero(np.diff(data, prepend=data[0] ^ 1, append=data[-1] ^ 1))
+    *lines, line_hashes = B.word_hashes(data, B.BYTES != 0x0A, B.SYMBOL)
     letters = kinds[0] + kinds[1]
     out[:] = (
         np.log1p(n), np.log1p(len(words)), kinds[1] / max(1, letters), kinds[2] / n, kinds[3] / n, kinds[4] / n, kinds[5] / n, kinds[6] / n, kinds[7] / n, kinds[8] / n,
         of_byte[0x21] / n, of_byte[0x7C] / n, (of_byte[0x23] + of_byte[0x24] + of_byte[0x25] + of_byte[0x26] + of_byte[0x2A]) / n,
         size.mean() if len(size) else 0, size.max() if len(size) else 0, len(counts) / n_words, counts.max() / n_words, (size <= 2).sum() / n_words,
         (KIND[data[ends - 1]] == 7).sum() / n_words, (KIND[data[starts]] == 1).sum() / n_words, -(share * np.log2(share)).sum(),
-        np.log1p((lines[1] - lines[0]).mean()) if len(lines[0]) else 0, 1 - len(np.unique(line_hashes)) / max(1, len(line_hashes)), np.log1p(np.diff(same).max()),
+        np.log1p((lines[1] - lines[0]).mean()) if len(lines[0]) else 0, 1 - len(np.unique(line_hashes)) / max(1, len(line_hashes)), np.log1p(longest_run(data)),
     )
     return out
 
 
+def longest_run(data: np.ndarray) -> int:
+    """The most equal bytes in a row."""
+    longest, before = 0, 0  # before: where the run that is open began
+    for a in range(0, len(data), B.STRETCH):
+        part = data[max(0, a - 1) : a + B.STRETCH]
+        bounds = np.flatnonzero(part[1:] != part[:-1]) + max(1, a)
+        starts = np.concatenate([[before], bounds])
+        longest = max(longest, int(np.diff(np.append(starts, min(a + B.STRETCH, len(data)))).max()))
+        before = int(starts[-1])
+    return longest
+
+
 @dataclass
 class Model:
     base: float
@@ -200,8 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, columns: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs' columns with the score and whether it reaches the threshold, under the names in columns."""
     prepare(docs.sparkSession)
-    names = [c for c in docs.columns if c.lower() not in columns]
-    docs = docs.select(names)
+    names = without(docs, *columns)
+    docs = docs.select([column(c) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,4 +218,4 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5, columns: tuple
             scores = model.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, *columns])
 
-    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))
+    return mapped(docs, run, T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))

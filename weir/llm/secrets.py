@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .scratch import prepare
+from .scratch import columns, mapped, prepare, without
 
 KINDS = ("assign", "access", "hex", "entropy")
 _letters = lambda word: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -146,8 +146,8 @@ ADDED = T.StructType([T.StructField("secret_spans", T.ArrayType(T.StructType([T.
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with secret_spans: kind, start and end of each, by start and then as KINDS has them."""
     prepare(docs.sparkSession)
-    names = [c for c in docs.columns if c.lower() not in {f.name for f in ADDED}]
-    docs = docs.select(names)
+    names = without(docs, *ADDED.names)
+    docs = docs.select(columns(names))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + entropy_spans(text or "", base))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*names, "secret_spans"])
 
-    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, *ADDED]))
+    return mapped(docs, run, T.StructType([*docs.schema, *ADDED]))
 
 
 def written(spans, kinds: tuple[str, ...] = KINDS):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from . import pretoken
-from .scratch import prepare
+from .scratch import column, prepare
 
 WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 NO_ID = -(1 << 63)
@@ -137,7 +137,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards:
             yield pa.RecordBatch.from_pydict({"part": [part], "shard": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text"))
         .repartitionByRange(shards, "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )

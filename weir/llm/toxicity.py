@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import bytesops as B
 from . import labelled
 from .decontaminate import IS_WORD
-from .scratch import prepare
+from .scratch import column, mapped, prepare, without
 
 BITS = 20
 #: Lengths in bytes of the beginnings of words that are features; 0: whole words.
@@ -44,16 +44,15 @@ VALUES = np.array([0.05, 0.2, 0.4, 0.75, 1.5, 3.0])
 LEVEL_BITS, DENSE = 3, 3
 
 
-def hashed(data: np.ndarray) -> tuple[np.ndarray, int]:
-    """Hashed features of a text, with repeats, and its number of words."""
-    starts, ends = B.runs(IS_WORD[data])
-    if not len(starts):
-        return np.zeros(0, np.int32), 0
-    sums = B.prefix_sums(B.SYMBOL_LOWER[data])
+def hashed(data: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """Hashed features of a text, with repeats, and its number of words. wanted: only features that are true there."""
+    starts, ends, words = B.word_hashes(data, IS_WORD, B.SYMBOL_LOWER)
     out = []
     for part in PARTS:
-        a, b = (starts, ends) if not part else (s := starts[ends - starts > part], s + part)
-        out.append((B.mix(B.span(sums, a, b) + B.U64(part * 0x51ED27 + 1)) >> B.U64(64 - BITS)).astype(np.int32))
+        begin = starts[ends - starts > part]
+        found = B.mix((B.hashes(data, begin, begin + part, B.SYMBOL_LOWER) if part else words) + B.U64(part * 0x51ED27 + 1))
+        found = (found >> B.U64(64 - BITS)).astype(np.int32)
+        out.append(found if wanted is None else found[wanted[found]])
     return np.concatenate(out), len(starts)
 
 
@@ -69,9 +68,11 @@ class Model:
     dense: np.ndarray  # and times the level's value
     intercept: float
 
+    def __post_init__(self):
+        self.weighed = (self.present != 0) | (self.dense != 0)
+
     def score(self, data: np.ndarray) -> float:
-        found, n_words = hashed(data)
-        found = levels(found[(self.present[found] != 0) | (self.dense[found] != 0)], n_words)
+        found = levels(*hashed(data, self.weighed))
         ids = found >> LEVEL_BITS
         return float(1 / (1 + np.exp(-(self.intercept + self.present[ids].sum() + (self.dense[ids] * VALUES[found & 7]).sum()))))
 
@@ -201,12 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, most_positives: int = 2000, most_u
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7, columns: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs' columns with the score and whether it reaches the threshold, under the names in columns."""
     prepare(docs.sparkSession)
-    names = [c for c in docs.columns if c.lower() not in columns]
-    docs = docs.select(names)
+    names = without(docs, *columns)
+    docs = docs.select([column(c) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.array([model.score(x) for x in B.rows(batch.column(batch.schema.get_field_index("text")))], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, *columns])
 
-    return docs.mapInArrow(B.released(run), T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))
+    return mapped(docs, run, T.StructType([*docs.schema, T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.IntegerType())]))
