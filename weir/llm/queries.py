@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import shared_dir
+from ..runtime import work_dir
 from . import decontaminate, jaccard, labelled, line_dedup, pieces, quality, secrets, suffix_dedup, token_files, toxicity
-from .exact_dedup import DigestIndex
+from .exact_dedup import DigestIndex, buckets_for, dedup_in_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return token_files.documents(spark, folder)
 
@@ -73,8 +73,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
-    found = index.dedup(_table(spark, sf_dir, "documents"))
+    """In two batches of ascending ids, so that the second one meets a filled index."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n, middle = docs.agg(F.count("*"), F.percentile_approx("doc_id", 0.5)).first()
+    index = DigestIndex(spark, f"{work_dir(spark)}/digest-index-{uuid.uuid4().hex}", buckets_for(spark, n))
+    first = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
+    found = dedup_in_batches(index, [docs.where(first), docs.where(~first)])
     index.close()
     return found
 
