@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .scratch import Scratch
+from .scratch import Scratch, column, columns, mapped, unused, without
 
 BLANK = b" \t\r\f\v"
 SIZE = 16
 RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 #: The number of units, the deleted runs of them as [start, end), and the text that is left.
 ADDED = T.StructType([T.StructField("line_count", T.IntegerType()), T.StructField("line_runs", RUNS), T.StructField("line_kept", T.StringType())])
-KEY = "weir_text_hash"
+KEY, ROW = "weir_text_hash", "weir_row"
 
 
 def units(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -133,19 +133,20 @@ def repeats(docs: DataFrame, window: int, long_words: int | None, scratch: Scrat
 def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """docs with the columns of ADDED. long_words: units of more words are runs by themselves (none, if not given)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    given = [f for f in docs.schema if f.name.lower() not in {a.name for a in ADDED}]
-    names = [f.name for f in given]
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    names = without(docs, *ADDED.names)
+    docs = docs.select(columns(names))
+    text_hash = F.xxhash64(F.coalesce(column(text_col).cast("string"), F.lit("")))
+    row, found_name = (unused(names, x) for x in (ROW, "weir_found"))
     found = scratch.save(
-        repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias(KEY), F.col(text_col).alias("text")), window, long_words, scratch),
+        repeats(docs.select(column(id_col).cast("long").alias("doc_id"), text_hash.alias(KEY), column(text_col).alias("text")), window, long_words, scratch),
         "repeats",
     )
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            given = dict(zip(batch.schema.names, batch.columns, strict=True))
             count, runs, kept = [], [], []
-            for data, found in zip(B.rows(columns[text_col]), columns["weir_found"].to_pylist(), strict=True):
+            for data, found in zip(B.rows(given[text_col]), given[found_name].to_pylist(), strict=True):
                 text = data.tobytes()
                 lines, places = units(text)
                 count.append(len(places))
@@ -160,11 +161,10 @@ def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: st
                 drop = {places[i] for i in np.flatnonzero(gone).tolist()}
                 kept.append("" if len(drop) == len(places) else b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode())
             added = [pa.array(count, pa.int32()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names] + added, names=names + ADDED.names)
+            yield pa.RecordBatch.from_arrays([given[n] for n in names] + added, names=names + ADDED.names)
 
-    here, there = docs.select(names).withColumn(KEY, text_hash), found.withColumnRenamed("doc_id", "weir_id").withColumnRenamed(KEY, "weir_key")
-    return (
-        here.hint("merge").join(there, F.col(id_col).cast("long").eqNullSafe(F.col("weir_id")) & (F.col(KEY) == F.col("weir_key")), "left")
-        .select(*names, F.col("found").alias("weir_found"))
-        .mapInArrow(B.released(delete), T.StructType([*given, *ADDED]))
-    )
+    # The row's own key beside all its columns, under a name that none of them has.
+    here = docs.select(*columns(names), F.struct(column(id_col).cast("long").alias("id"), text_hash.alias("hash")).alias(row))
+    there = found.select(F.struct(F.col("doc_id").alias("id"), F.col(KEY).alias("hash")).alias(row), F.col("found").alias(found_name))
+    same = here[row]["id"].eqNullSafe(there[row]["id"]) & (here[row]["hash"] == there[row]["hash"])
+    return mapped(here.hint("merge").join(there, same, "left").select(*columns(names), found_name), delete, T.StructType([*docs.schema, *ADDED]))
