@@ -7,8 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weir.llm import components, jaccard, line_dedup, suffix_array, suffix_dedup
-from weir.llm.exact_dedup import DigestIndex
+from weir.llm import components, jaccard, line_dedup, sharing, suffix_array, suffix_dedup
+from weir.llm.exact_dedup import DigestIndex, dedup_in_batches
 from weir.llm.scratch import Scratch
 
 from .helpers import awkward, collected, frame
@@ -44,6 +44,38 @@ def test_exact_dedup_of_later_batches(spark, path):
     assert DigestIndex(spark, path + "-none", 4).dedup(first.where("false")).count() == 0
 
 
+def test_digest_index_keeps_its_buckets(spark, path):
+    texts = [(i, f"text {i}") for i in range(40)]
+    first = DigestIndex(spark, path, 8)
+    assert all(r.kept for r in first.dedup(frame(spark, texts)).collect())
+    again = DigestIndex(spark, path, 4)  # asked for otherwise
+    assert again.buckets == 8 and not any(r.kept for r in again.dedup(frame(spark, [(i + 100, t) for i, t in texts])).collect())
+    wider = again.compacted(path + "-wider", 16)
+    assert wider.buckets == 16 and sorted(r.keep_id for r in wider.read().collect()) == list(range(40))
+    assert {r.keep_id for r in wider.dedup(frame(spark, [(500, "text 7"), (501, "new")])).collect()} == {7, 501}
+
+
+def test_digest_index_after_a_cut_off_append_and_a_second_writer(spark, path):
+    """A batch that is run again, with some of its digests in the index, some twice, gives the same rows."""
+    rows = [(5, "a"), (3, "a"), (6, "b"), (7, "c")]
+    wanted = sorted((i, 3 if t == "a" else i, 2 if t == "a" else 1, i != 5) for i, t in rows)
+    index = DigestIndex(spark, path, 4)
+    assert collected(index.dedup(frame(spark, rows)), "doc_id", "keep_id", "group_size", "kept") == wanted
+    index._append(index.read().where("keep_id < 7"))
+    assert collected(index.dedup(frame(spark, rows)), "doc_id", "keep_id", "group_size", "kept") == wanted
+    index._append(index.read().selectExpr("digest", "keep_id + 100 AS keep_id"))  # another writer, later ids
+    assert collected(DigestIndex(spark, path).dedup(frame(spark, rows)), "doc_id", "keep_id", "group_size", "kept") == wanted
+
+
+def test_exact_dedup_in_batches(spark, path):
+    rows = sorted((r for r in ROWS if r[0] is not None), key=lambda r: r[0]) + [r for r in ROWS if r[0] is None]
+    whole = collected(DigestIndex(spark, path, 4).dedup(frame(spark, rows)), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    for cuts in ([0, 41, len(rows)], [0, 0, 33, 44, len(rows)]):
+        batches = [frame(spark, rows).where("false") if a == b else frame(spark, rows[a:b]) for a, b in zip(cuts, cuts[1:])]
+        index = DigestIndex(spark, f"{path}-{len(cuts)}", 4)
+        assert collected(dedup_in_batches(index, batches), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == whole
+
+
 def test_exact_dedup_is_native(spark, path):
     plan = DigestIndex(spark, path, 4).dedup(frame(spark, ROWS))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -171,6 +203,14 @@ def test_suffix_dedup_of_random_texts(spark):
     assert suffix_dedup.dedup(frame(spark, rows).where("false")).count() == 0
 
 
+def test_anchors_lie_evenly_in_buckets():
+    from .helpers import prose
+
+    found = suffix_dedup.Anchors(100, 40).hashes(np.frombuffer(prose(np.random.default_rng(0), 40_000).encode(), np.uint8))
+    share = np.bincount(np.searchsorted(sharing.bounds_of(50), np.unique(found), "right"), minlength=50) / len(np.unique(found))
+    assert len(found) > 4000 and share.max() < 0.04
+
+
 @pytest.mark.parametrize("letters", [1, 2, 3, 26])
 def test_suffix_arrays(letters):
     rng = np.random.default_rng(letters)
@@ -187,6 +227,29 @@ def test_suffix_arrays(letters):
                 assert common[j] == k
 
 
+@pytest.mark.parametrize("alphabet", [1, 2, 5, 300, 100_000])
+def test_suffix_arrays_of_names(alphabet):
+    """Large alphabets, in which each name stands once or twice, and small ones, which take several recursions."""
+    rng = np.random.default_rng(alphabet)
+    for n in (1, 2, 3, 8, 40, 400):
+        for _ in range(6):
+            text = rng.integers(0, alphabet, n)
+            if n > 100:
+                text[200:] = text[: n - 200]
+            assert suffix_array.sorted_names(text, alphabet).tolist() == sorted(range(n), key=lambda i: text[i:].tolist())
+
+
+def test_suffix_arrays_compare_bytes_where_hashes_collide(monkeypatch):
+    """With hashes that are all equal, arrays are still right."""
+    from weir.llm import bytesops
+
+    monkeypatch.setattr(bytesops, "span", lambda sums, a, b: np.zeros(len(a), np.uint64))
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        text = rng.integers(97, 100, 150).astype(np.uint8)
+        assert suffix_array.suffix_array(text).tolist() == sorted(range(150), key=lambda i: text.tobytes()[i:])
+
+
 def brute_links(rows, size, percent):
     sets = []
     for _, t in rows:
@@ -244,6 +307,41 @@ def test_suffix_filter_never_drops_a_link():
         assert jaccard.linked(n1, n2, a, b, 75, edges) == (100 * both >= 75 * (n1 + n2 - both))
 
 
+def test_hashes_travel_whole():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 5000):
+        for top in (20, 50, 64):
+            some = np.unique(rng.integers(0, 1 << top, n, dtype=np.uint64) if top < 64 else rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64, endpoint=True))
+            assert (sharing.unpack(memoryview(sharing.pack(some)), len(some)) == some).all()
+            for buckets in (1, 3, 1000):
+                bounds = sharing.bounds_of(buckets)
+                assert len(bounds) == buckets - 1 and (np.searchsorted(bounds, some, "right") == [(int(h >> np.uint64(32)) * buckets) >> 32 for h in some]).all()
+
+
+def test_a_common_hash_is_one_entry_for_each_block():
+    """A bucket hears of a hash once from a block, however often the block has it."""
+    found = np.array([7, 5, 7, 7, 9 << 60, 7], np.uint64)
+    sent = sharing._sent(3, b"head", found, np.arange(6, dtype="<u2"), sharing.bounds_of(4)).to_pylist()
+    assert [(r["bucket"], r["kind"], r["n"], r["start"]) for r in sent] == [(3, 1, 4, 6), (0, 0, 2, 0), (2, 0, 1, 2)]
+    table = [(block, r["n"], r["start"], memoryview(r["payload"])) for block in (3, 4) for r in sent if r["bucket"] == 0 and not r["kind"]]
+    bits = lambda p, n: np.unpackbits(np.frombuffer(p, np.uint8, 1), count=n).tolist()
+    assert [(b, bits(p, n)) for b, _, n, _, p in sharing._counted(table, False)] == [(3, [1, 1]), (4, [1, 1])]
+    assert [(b, bits(p, n)) for b, _, n, _, p in sharing._counted(table[:1], True)] == [(3, [0, 1])]
+
+
+def test_shared_hashes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 2, " ".join(map(str, rng.integers(0, 400, int(rng.integers(0, 12)))))) for i in range(60)]
+    numbers = lambda data: np.array([int(x) for x in data.tobytes().split()], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    times = Counter(x for _, _, t in rows for x in t.split())
+    found = {(r.a, r.b): r.bits for r in sharing.shared(spark.createDataFrame(rows, "a long, b long, text string"), numbers, 10).collect()}
+    for a, b, t in rows:
+        wanted = [times[x] > 1 for x in t.split()]
+        assert (a, b) in found if any(wanted) else (a, b) not in found
+        if any(wanted):
+            assert np.unpackbits(np.frombuffer(found[a, b], np.uint8), count=len(wanted)).astype(bool).tolist() == wanted
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (200, 200)] + [(300, 301 + k) for k in range(20)]
     found = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c").collect()

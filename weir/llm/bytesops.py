@@ -146,9 +146,19 @@ def rows(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[a:b]
 
 
+#: glibc's numbers of two settings, and what workers set them to: larger arrays go back to the system as soon as they
+#: are freed, and so does the end of the heap.
+MMAP_THRESHOLD, TRIM_THRESHOLD = (-3, 4 << 20), (-1, 16 << 20)
+
+
 @lru_cache(1)
 def _trim() -> Callable[[int], int] | None:
-    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    """malloc_trim, if this C library has it; its settings are made the first time."""
+    lib = ctypes.CDLL(None)
+    if hasattr(lib, "mallopt"):
+        for which, value in (MMAP_THRESHOLD, TRIM_THRESHOLD):
+            lib.mallopt(which, value)
+    return getattr(lib, "malloc_trim", None)
 
 
 def release() -> None:
@@ -163,6 +173,7 @@ def released(run: Callable) -> Callable:
     """run, over the batches of a task, and then release()."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trim()
         yield from run(batches)
         release()
 

@@ -6,8 +6,9 @@ is sorted in turn; from the order it gives, all suffixes are induced in linear t
 first characters; all of a bucket's entries that are known induce their left neighbours at once, and neighbours that
 fall into the same bucket form its next wave.
 
-The string of names has an alphabet about as large as itself, for which buckets would be single steps. It is sorted by
-doubling: names of 1, 2, 4... places are ranked, in whole-array sorts, until all ranks differ.
+The string of names has an alphabet about as large as itself, whose buckets hold one or two places each: there an
+array step for each bucket would cost more than a plain step for each place. It is sorted by the same method, recursively,
+in such plain steps over lists.
 
 Common prefixes come in text order: where a suffix and its predecessor in the array have equal characters before them,
 the length is one less than that of the suffix one to the left; only the others are compared, eight bytes a step.
@@ -89,20 +90,96 @@ class _Induction:
             self._put(array, left, heads, forward)
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffixes of a string of names, in order."""
-    n, rank, h = len(names), names.astype(np.int64) + 1, 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] if h < n else []
-        key = (rank << 32) | after
-        order = np.argsort(key)
-        ranked = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        if new[order[-1]] == n:
-            return order
-        rank, h = new, 2 * h
+def sorted_names(text: np.ndarray, alphabet: int) -> np.ndarray:
+    """The suffixes of a string of names below `alphabet`, in order: classified, their leftmost-smaller substrings
+    sorted (recursively, where two are equal), and all induced from those."""
+    n = len(text)
+    if n < 2:
+        return np.arange(n)
+    is_s = _types(text)
+    leftmost = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    order = leftmost
+    if len(leftmost) > 1:
+        names = _substring_names(text, leftmost)
+        most = int(names.max()) + 1
+        order = leftmost[np.argsort(names) if most == len(leftmost) else sorted_names(names, most)]
+    return _induced(text, is_s, order, alphabet)
+
+
+def _substring_names(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Ranks of the leftmost-smaller substrings, equal for equal ones: those still tied are told apart by their next
+    place, a place a step. One that has ended is larger than one that goes on (there the other one falls further); the
+    last one, which ends with the text, is smaller."""
+    sizes = np.append(places[1:] + 1, len(text)) - places
+    rank = np.zeros(len(places), np.int64)
+    tied, k = np.arange(len(places)), 0
+    while len(tied):
+        at = places[tied] + k
+        over = k >= sizes[tied]
+        here = np.where(over, np.iinfo(np.int32).max, text[np.minimum(at, len(text) - 1)])
+        here[over & (tied == len(places) - 1)] = -1
+        order = np.lexsort((here, rank[tied]))
+        group, value = rank[tied][order], here[order]
+        new_group = np.concatenate([[True], group[1:] != group[:-1]])
+        new = new_group | np.concatenate([[True], value[1:] != value[:-1]])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(tied)))
+        # A rank is the number of substrings before: that of the group, and of its parts before this one.
+        begin = np.maximum.accumulate(np.where(new_group, np.arange(len(tied)), 0))
+        part = np.cumsum(new) - 1
+        rank[tied[order]] = group + (first[part] - begin)
+        # Tied still: parts of several, of which some go on.
+        open_ = np.add.reduceat((~over[order]).astype(np.int64), first) > 0
+        tied = tied[order][((size > 1) & open_)[part]]
+        k += 1
+    return np.unique(rank, return_inverse=True)[1].ravel()
+
+
+def _induced(names: np.ndarray, types: np.ndarray, leftmost: np.ndarray, alphabet: int) -> np.ndarray:
+    """All suffixes in order, from the leftmost-smaller ones in order, a place a step."""
+    n = len(names)
+    ends = np.cumsum(np.bincount(names, minlength=alphabet))
+    starts = ends - np.bincount(names, minlength=alphabet)
+    array = [-1] * n
+    # Leftmost-smaller suffixes stand at their buckets' ends, in order.
+    by_name = leftmost[np.argsort(names[leftmost], kind="stable")]
+    of = names[by_name]
+    counts = np.bincount(of, minlength=alphabet)
+    slots = ends[of] - counts[of] + (np.arange(len(of)) - (np.cumsum(counts) - counts)[of])
+    for slot, i in zip(slots.tolist(), by_name.tolist(), strict=True):
+        array[slot] = i
+    before = np.concatenate([[-1], names[:-1]])
+    is_s = np.concatenate([[False], types[:-1]])
+    # For each place the name of the one before, where a pass is to induce that, or else -1.
+    of_l = np.where(is_s, -1, before).tolist()
+    of_s = np.where(is_s, before, -1).tolist()
+    at = starts.tolist()
+    c = int(names[n - 1])
+    array[at[c]] = n - 1
+    at[c] += 1
+    for i in array:  # grows ahead of itself
+        if i > 0:
+            c = of_l[i]
+            if c >= 0:
+                array[at[c]] = i - 1
+                at[c] += 1
+    at = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        i = array[k]
+        c = of_s[i]  # the first place has no place before it
+        if c >= 0:
+            at[c] -= 1
+            array[at[c]] = i - 1
+    return np.array(array)
+
+
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b, as many as sizes has, are equal."""
+    if not len(a):
+        return np.zeros(0, bool)
+    first = np.cumsum(sizes) - sizes
+    step = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    return ~np.logical_or.reduceat(text[np.repeat(a, sizes) + step] != text[np.repeat(b, sizes) + step], first)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -124,11 +201,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     number[places] = np.arange(len(places))
     hashes = B.span(B.prefix_sums(B.SYMBOL[text]), places, ends)
     at = number[order]
-    differs = (hashes[at[1:]] != hashes[at[:-1]]) | ((ends - places)[at[1:]] != (ends - places)[at[:-1]])
+    sizes = ends - places
+    differs = (hashes[at[1:]] != hashes[at[:-1]]) | (sizes[at[1:]] != sizes[at[:-1]])
+    alike = np.flatnonzero(~differs)  # by hash: the bytes decide
+    differs[alike] = ~_equal(text, order[alike], order[alike + 1], sizes[at[alike]])
+    # The last substring ends with the text, which counts as smaller than any byte.
+    is_last = at == len(places) - 1
+    differs |= is_last[1:] | is_last[:-1]
     names = np.empty(len(places), np.int64)
     names[at] = np.concatenate([[0], np.cumsum(differs)])
     if names[at[-1]] + 1 < len(places):
-        order = places[_doubled(names)]
+        order = places[sorted_names(names, int(names[at[-1]]) + 1)]
     return induction.run(order)
 
 

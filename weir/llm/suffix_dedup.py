@@ -40,12 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .scratch import Scratch
+from .scratch import Scratch, column, columns, text_bytes, without
 from .sharing import shared
 from .suffix_array import common_prefixes, suffix_array
 
 ID, HASH = "weir_id", "weir_hash"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+#: Places in a stretch of bytes fit in so many bits.
+PLACE_BITS = 20
+assert B.STRETCH < 1 << PLACE_BITS
 #: Bytes of the text, the removed runs of them, and what is left.
 ADDED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("removed", SPANS), T.StructField("kept_sha256", T.StringType())])
 
@@ -59,23 +62,32 @@ class Anchors:
     def find(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The anchors' hashes, and each anchor's first and last window."""
         n = len(data) - self.length + 1
-        if n <= 0:
-            empty = np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), empty, empty
+        least, at, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, n, B.STRETCH):
+            for found, part in zip((least, at, first), self._stretch(data[a : min(n, a + B.STRETCH) + self.length - 1]), strict=True):
+                found.append(part if found is least else part + a)
+        where = np.concatenate(at)
+        new = np.flatnonzero(np.diff(where, prepend=-1))  # an anchor may go on in the next stretch
+        starts = np.concatenate(first)[new]
+        return np.concatenate(least)[new], starts, np.append(starts[1:], n)[: len(starts)] - 1
+
+    def _stretch(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash, place and first window of each anchor of a stretch of bytes."""
         grams = B.windows(B.prefix_sums(B.SYMBOL[data]), self.gram)
-        least, at, have = grams, np.arange(len(grams), dtype=np.int32), 1
+        # The hash's high bits and the place as one number: the smallest is the leftmost of the smallest hashes.
+        bits = np.uint64(PLACE_BITS)  # the same in every stretch, so that equal windows have equal anchors
+        least, have = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), 1
         width = self.length - self.gram + 1
         while have < width:
             step = min(have, width - have)
-            left, right = least[: len(least) - step], least[step:]
-            later = right < left
-            at = np.where(later, at[step:], at[: len(at) - step])
-            least, have = np.where(later, right, left), have + step
+            least, have = np.minimum(least[: len(least) - step], least[step:]), have + step
+        at = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        return least[first], first, np.append(first[1:], n) - 1
+        return grams[at[first]], at[first], first
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
-        return self.find(data)[0]
+        """Anchors are the smallest hashes of their windows; mixed anew, they lie evenly among all."""
+        return B.mix(self.find(data)[0])
 
 
 def _runs_of(places: np.ndarray) -> list[tuple[int, int]]:
@@ -91,27 +103,34 @@ def _index(anchors: Anchors):
     the same text has earlier repeat them for certain; their rows have no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = anchors.length
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, text_hash, data, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), B.rows(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            anchor, digests, start, windows, counts = [], [], [], [], []
+            for data, bits in zip(B.rows(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 keys, first, last = anchors.find(data)
                 live = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys)))
-                raw, met = data.tobytes(), set()
-                rows: list[list] = []
+                raw, met, before = data.tobytes(), set(), len(start)
+                open_ = -1  # where the run of repeats that the last row has would go on
                 for key, a, b in zip(keys[live].view(np.int64).tolist(), first[live].tolist(), last[live].tolist(), strict=True):
-                    digest = blake2b(raw[a : b + anchors.length], digest_size=16).digest()
+                    digest = blake2b(raw[a : b + length], digest_size=16).digest()
                     if digest not in met:
                         met.add(digest)
-                        rows.append([key, digest, a, b - a + 1])
-                    elif rows and rows[-1][1] is None and rows[-1][2] + rows[-1][3] == a:
-                        rows[-1][3] += b - a + 1
+                        open_ = -1
+                    elif open_ == a:
+                        windows[-1] += b - a + 1
+                        open_ = b + 1
+                        continue
                     else:
-                        rows.append([None, None, a, b - a + 1])
-                for row in rows:
-                    for column, x in zip(out, (doc_id, text_hash, *row), strict=True):
-                        column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[ID, HASH, "anchor", "digest", "start", "windows"])
+                        key = digest = None
+                        open_ = b + 1
+                    anchor.append(key)
+                    digests.append(digest)
+                    start.append(a)
+                    windows.append(b - a + 1)
+                counts.append(len(start) - before)
+            named = [pa.array(np.repeat(batch.column(i).to_numpy(), counts)) for i in (0, 1)]
+            rest = [pa.array(x, k) for x, k in ((anchor, pa.int64()), (digests, pa.binary()), (start, pa.int32()), (windows, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(named + rest, names=[ID, HASH, "anchor", "digest", "start", "windows"])
 
     return run
 
@@ -155,7 +174,13 @@ def repeats_in(stretches: list[bytes], doc_rank: np.ndarray, start: np.ndarray,
 
 
 def _sorted_shard(length: int):
-    def run(table: pa.Table) -> pa.Table:
+    """All rows of a shard's partition: their windows that repeat an earlier one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := [batch for batch in batches if len(batch)]:
+            yield repeated(pa.Table.from_batches(rows))
+
+    def repeated(table: pa.Table) -> pa.RecordBatch:
         ids, hashes = table[ID].to_numpy(), table[HASH].to_numpy()
         _, rank = np.unique(np.stack([ids, hashes], 1), axis=0, return_inverse=True)
         stretches = table["stretch"].to_pylist()
@@ -169,7 +194,7 @@ def _sorted_shard(length: int):
         for r in np.flatnonzero(np.diff(bounds)).tolist():
             places = found[bounds[r] : bounds[r + 1]] - begin[r] + start[r]
             out += [(ids[r], hashes[r], a, k) for a, k in _runs_of(places)]
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[ID, HASH, "start", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[ID, HASH, "start", "windows"])
 
     return run
 
@@ -218,9 +243,8 @@ def repeats(docs: DataFrame, live: DataFrame, anchors: Anchors, scratch: Scratch
     )
     sorted_ = scratch.save(
         several.where(F.col("classes") <= most_classes)
-        .withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        .groupBy("shard")
-        .applyInArrow(B.released_group(_sorted_shard(length)), f"{ID} long, {HASH} long, start int, windows int"),
+        .repartitionById(shards, F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
+        .mapInArrow(B.released(_sorted_shard(length)), f"{ID} long, {HASH} long, start int, windows int"),
         "sorted",
     )
     # The rest, window by window.
@@ -245,41 +269,41 @@ def dedup(docs: DataFrame, length: int = 100, gram: int = 40, shard_bytes: int =
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     anchors = Anchors(length, gram)
     added = T.StructType([*ADDED, T.StructField("kept", T.BinaryType())]) if kept_bytes else ADDED
-    given = [f for f in docs.schema if f.name.lower() not in {a.name for a in added}]
-    names = [f.name for f in given]
+    names = without(docs, *added.names)
+    given = docs.select(columns(names)).schema
+    # The columns travel as one, so that none of them clashes with the keys beside it.
     keyed = docs.select(
-        *names,
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias(ID),
-        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(HASH),
+        F.struct(*columns(names)).alias("row"),
+        F.coalesce(column(id_col).cast("long"), F.lit(-(1 << 63))).alias(ID),
+        F.xxhash64(F.coalesce(column(text_col).cast("string"), F.lit(""))).alias(HASH),
     )
     keyed = scratch.save_by(keyed, "texts", [ID, HASH])
-    texts = keyed.select(ID, HASH, F.col(text_col).alias("text"))
-    live = scratch.save(shared(texts, anchors.hashes), "live")
+    texts = keyed.select(ID, HASH, F.col("row").getField(text_col).cast("string").alias("text"))
+    live = scratch.save(shared(texts, anchors.hashes, 2 * text_bytes(texts) // (length - gram + 1)), "live")
     runs = repeats(texts, live.dropDuplicates([ID, HASH]), anchors, scratch, shard_bytes, most_classes)
     by_doc = scratch.save(runs.groupBy(ID, HASH).agg(F.collect_set(F.struct("start", "windows")).alias("weir_runs")), "runs")
-    for name in ("index", "classes", "several", "stretches", "sorted", "each", "earliest", "copied"):
-        scratch.drop(name)
+    scratch.drop("live", "index", "classes", "several", "stretches", "sorted", "each", "earliest", "copied")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            fields = batch.column(0).flatten()
             out: list[list] = [[], [], [], []]
-            for data, found in zip(B.rows(columns[text_col]), columns["weir_runs"].to_pylist(), strict=True):
+            for data, found in zip(B.rows(fields[names.index(text_col)]), batch.column(1).to_pylist(), strict=True):
                 gone: list[dict] = []
-                left = data
-                if found:
-                    step = np.zeros(len(data) + 1, np.int32)
-                    start = np.array([r["start"] for r in found])
-                    np.add.at(step, start, 1)
-                    np.add.at(step, start + np.array([r["windows"] for r in found]) + length - 1, -1)
-                    hit = np.cumsum(step[:-1]) > 0
-                    gone = [{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in B.runs(hit)), strict=True)]
-                    left = data[~hit]
-                kept = left.tobytes()
+                left, upto = [], 0
+                for a, b in sorted((r["start"], r["start"] + r["windows"] + length - 1) for r in found or ()):
+                    if gone and a <= gone[-1]["end"]:
+                        gone[-1]["end"] = max(gone[-1]["end"], b)
+                    else:
+                        gone.append({"start": a, "end": b})
+                for r in gone:
+                    left.append(data[upto : r["start"]].tobytes())
+                    upto = r["end"]
+                kept = b"".join([*left, data[upto:].tobytes()])
                 for column, x in zip(out, (len(data), gone, sha256(kept).hexdigest(), kept), strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string(), pa.binary()]
             arrays = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)][: len(added)]
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names] + arrays, names=names + added.names)
+            yield pa.RecordBatch.from_arrays(fields + arrays, names=names + added.names)
 
-    return keyed.hint("merge").join(by_doc, [ID, HASH], "left").select(*names, "weir_runs").mapInArrow(B.released(remove), T.StructType([*given, *added]))
+    return keyed.hint("merge").join(by_doc, [ID, HASH], "left").select("row", "weir_runs").mapInArrow(B.released(remove), T.StructType([*given, *added]))
