@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weir.llm import decontaminate, jaccard, line_dedup, pieces, quality
 from weir.llm.queries import tokenizer_path
-from weir.llm.scratch import Scratch
+from weir.llm.scratch import Scratch, column, quoted
 
 REST = "weir_rest"
 DIGEST = "weir_digest"
@@ -25,7 +25,7 @@ DIGEST = "weir_digest"
 
 def _aside(docs: DataFrame) -> DataFrame:
     """doc_id, text, and all other columns as one."""
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    others = [column(c) for c in docs.columns if c not in ("doc_id", "text")]
     return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias(REST))
 
 
@@ -38,7 +38,7 @@ def _back(found: DataFrame, docs: DataFrame, *more: str, changed: bool = False)
             return F.col(name)
         if changed and name == "n_chars":
             return F.length("text").cast(docs.schema[name].dataType).alias(name)
-        return F.col(f"{REST}.`{name}`")
+        return F.col(f"{REST}.{quoted(name)}").alias(name)
 
     return found.select(*(column(c) for c in docs.columns if c not in more), *more)
 
