@@ -153,3 +153,29 @@ def test_rendered_ranks(spark):
     row = spark.createDataFrame([("p", 0.000945)], "page string, rank double")
     found = row.select(render.named_rank(F.col("page"), F.col("rank")), render.rank_named(F.col("rank"), F.col("page")), render.pair(F.col("rank"), F.col("page"))).first()
     assert tuple(found) == ("p:0.000945000000000", "9.45E-4:p", "(9.45E-4,p)")
+
+
+def test_a_page_with_many_inlinks_is_one_stub(spark):
+    """Vertices of pages that were only linked to come from distinct targets; no list grows with inlinks."""
+    rows = spark.createDataFrame([(f"P{k}", ["Hub", f"P{k - 1}"] * 3) for k in range(1, 60)], "page string, links array<string>")
+    found = graph.vertices(rows)
+    assert {r.page: len(r.links) for r in found.collect()} == {"Hub": 0, "P0": 0} | {f"P{k}": 6 for k in range(1, 60)}
+
+
+def test_ranks_of_hubs_equal_plain_iteration(spark):
+    """A hub that all link to and one that links to all, repeats included, in all forms."""
+    pairs = [(f"a{k}", "hub") for k in range(40)] + [("out", f"a{k}") for k in range(40)] + [("a1", "hub"), ("a2", "a3"), ("hub", "sink")]
+    names = sorted({x for p in pairs for x in p})
+    links_of = {n: [d for s, d in pairs if s == n] for n in names}
+    wanted = {n: 1 / len(names) for n in names}
+    for _ in range(4):
+        lost = sum(wanted[n] for n in names if not links_of[n])
+        wanted = {n: (0.15 + 0.85 * lost) / len(names) + 0.85 * sum(wanted[s] / len(links_of[s]) for s, d in pairs if d == n) for n in names}
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for variant in ("adjacency", "row", "column"):
+        assert ranks(pagerank.pagerank(graph.nodes(edges), edges, 4, variant=variant)) == pytest.approx(wanted)
+
+
+def test_dangling_mass_of_no_ranks(spark):
+    none = spark.createDataFrame([], "page string, rank double, dangling boolean")
+    assert pagerank.dangling_mass(none).first().mass == 0

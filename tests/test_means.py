@@ -145,3 +145,26 @@ def test_word_count_of_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows(spark.table("counted")) == [("x", 3), ("y", 2)]
+
+
+def test_log_with_timing_lines(spark, tmp_path):
+    from datetime import datetime
+
+    from weir.sources import readers, sinks
+
+    found = spark.createDataFrame([("S1", 20.0), ("S4", 50.5)], "station string, mean double")
+    path = sinks.station_log(found, str(tmp_path), datetime(2020, 1, 2, 15, 4), [30, 10.5, 90])
+    assert path.endswith("2020_01_02_03_04")
+    assert sorted(r.value for r in readers.lines(spark, path).collect()) == ["Average Running Time:43.5 ms", "Maximum Running Time:90.0 ms", "Minimum Running Time:10.5 ms", "S1|20.0", "S4|50.5"]
+
+
+def test_intermediate_tables_are_removed(spark):
+    from weir import runtime
+
+    kept = runtime.cut(spark.range(5))
+    path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    import os
+
+    assert os.path.isdir(path) and runtime.work_dir(spark) in kept.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    runtime.remove(spark, path)
+    assert not os.path.exists(path)

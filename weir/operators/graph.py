@@ -14,18 +14,20 @@ def edges_of(links: DataFrame) -> DataFrame:
 
 
 def merged_pages(links: DataFrame, how: str = "concat") -> DataFrame:
-    """One row for each page. concat: all its records' links; first: those of one record with links, if it has any
+    """One row for each page. concat: all its records' links, smaller lists first; first: those of one record with links, if it has any
     (of several the smallest list, so that the outcome doesn't depend on order)."""
     if how == "concat":
-        return links.groupBy("page").agg(F.flatten(F.collect_list("links")).alias("links"))
+        return links.groupBy("page").agg(F.flatten(F.array_sort(F.collect_list("links"))).alias("links"))
     rank = F.struct((F.size("links") == 0).alias("sink"), "links")
     return links.groupBy("page").agg(F.min(rank)["links"].alias("links"))
 
 
 def vertices(links: DataFrame) -> DataFrame:
     """Every page that was crawled or linked to, once, with its links (none for pages never crawled)."""
-    stubs = edges_of(links).select(F.col("dst").alias("page"), F.array().cast("array<string>").alias("links"))
-    return merged_pages(links.select("page", "links").unionByName(stubs))
+    # A page is one row here however many link to it.
+    linked = edges_of(links).select(F.col("dst").alias("page")).distinct()
+    stubs = linked.join(links.select("page"), "page", "left_anti").select("page", F.array().cast("array<string>").alias("links"))
+    return merged_pages(links).unionByName(stubs)
 
 
 def nodes(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:

@@ -39,8 +39,19 @@ def log_name(now: datetime.datetime) -> str:
     return now.strftime("%Y_%m_%d_%I_%M")
 
 
-def station_log(means: DataFrame, folder: str, now: datetime.datetime) -> str:
-    """station|mean lines in a folder named by the time; returns its path."""
+def timing_lines(runs: list[float]) -> list[str]:
+    """The mean, the least and the greatest of run times in milliseconds."""
+    # The words of these lines.
+    named = (("Average", sum(runs) / len(runs)), ("Minimum", min(runs)), ("Maximum", max(runs)))
+    return [f"{name} Running Time:{float(value)} ms" for name, value in named]
+
+
+def station_log(means: DataFrame, folder: str, now: datetime.datetime, runs: list[float] | None = None) -> str:
+    """station|mean lines in a folder named by the time, and then, if run times are given, their three lines in a file
+    of their own; returns the folder's path."""
     path = f"{folder}/{log_name(now)}"
     means.select(F.concat_ws("|", "station", F.col("mean").cast("string"))).write.text(path)
+    if runs:
+        lines = means.sparkSession.createDataFrame([(x,) for x in timing_lines(runs)], "value string")
+        lines.coalesce(1).write.mode("append").text(path)
     return path
