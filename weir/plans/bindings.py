@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import links, load, render
 from ..functions.text import fields, target, words, year_of
 from ..operators import graph, matrix, means, pagerank, topk
-from ..runtime import cut, shared_dir
+from ..runtime import cut, work_dir
 from ..sources import readers, sinks
 
 
@@ -19,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/sink-{uuid.uuid4().hex}"
 
 
 VIEWED = {"mean_min": "view", "mean_max": "purchase"}
@@ -156,14 +157,17 @@ def adjacency_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers linking to each other, with repeats. Large parts link to nobody and nobody links to small
-    ones, so there are pages without links and pages without inlinks."""
-    sizes = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    item = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").join(sizes, "l_partkey")
+    """Every line item is a link: of parts and suppliers to each other, with repeats, by returned or accepted; of the
+    rest, by the supplier's number, of parts to the page of their line's number, which links to nobody, and of the page
+    of their day, which nobody links to, to parts."""
+    item = _table(spark, sf_dir, "lineitem")
     part, supplier = F.concat(F.lit("P"), "l_partkey"), F.concat(F.lit("S"), "l_suppkey")
-    there = item.where("l_returnflag = 'R' AND p_size <= 40").select(part.alias("src"), supplier.alias("dst"))
-    back = item.where("l_returnflag = 'A' AND p_size > 7").select(supplier.alias("src"), part.alias("dst"))
-    return there.union(back)
+    line, day = F.concat(F.lit("L"), "l_linenumber"), F.concat(F.lit("D"), F.date_format("l_shipdate", "yyyyMMdd"))
+    returned, accepted, even = F.col("l_returnflag") == "R", F.col("l_returnflag") == "A", F.col("l_suppkey") % 2 == 0
+    return item.select(
+        F.when(returned, part).when(accepted, supplier).when(even, part).otherwise(day).alias("src"),
+        F.when(returned, supplier).when(accepted, part).when(even, line).otherwise(part).alias("dst"),
+    )
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,8 +237,8 @@ def _ranks(iterations: int, variant: str):
 
 
 def dangling_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = _ranked(spark, sf_dir, 1, "adjacency").join(graph.dangling(_graph(spark, sf_dir)), "page")
-    return ranks.agg(F.round(F.sum("rank"), 9).alias("mass"))
+    ranks = _ranked(spark, sf_dir, 1, "adjacency").join(_graph(spark, sf_dir).select("page", "dangling"), "page")
+    return pagerank.dangling_mass(ranks).select(F.round("mass", 9).alias("mass"))
 
 
 def total_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +265,116 @@ def topk_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(render.named_rank(F.col("page"), F.col("rank")).alias("line"))
 
 
+def topk_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k as each of the three kinds of result file has it."""
+    best = cut(topk.top(_degrees(spark, sf_dir), 100))
+    page, rank = F.col("page"), F.col("rank")
+    forms = {"named": render.named_rank(page, rank), "ranked": render.rank_named(rank, page), "pair": render.pair(rank, page)}
+    return best.select(F.explode(F.array(*(F.struct(F.lit(k).alias("form"), v.alias("line")) for k, v in forms.items()))).alias("x")).select("x.*")
+
+
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks to nine decimals, so that ties and order don't depend on the order of additions."""
+    return _ranked(spark, sf_dir, 10, "adjacency").select("page", F.round("rank", 9).alias("rank"))
+
+
+def pagerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(_best(spark, sf_dir), 100)
+
+
+def pagerank_top_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(_best(spark, sf_dir), 100).select(render.named_rank(F.col("page"), F.col("rank")).alias("line"))
+
+
+def pagerank_top_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By ids, as the matrix forms rank pages; names come last."""
+    pages = cut(graph.dictionary(_graph(spark, sf_dir)))
+    ranks = _ranked(spark, sf_dir, 10, "column").join(pages, "page").select("page_id", F.round("rank", 9).alias("rank"))
+    return topk.top_named(ranks, pages, 100)
+
+
+def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl made of the documents, as lines: each page links to its own words and to the next document. German pages
+    don't parse, Spanish names hold a tilde, and French pages have a lone ampersand, which is repaired."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1).alias("w"))
+    names = F.concat("w", F.array(F.concat(F.lit("D"), (F.col("doc_id") + 1).cast("string"))))
+    anchors = F.array_join(F.transform(names, lambda w: F.concat(F.lit('<a href="./x/'), w, F.lit('.html">l</a>'))), "")
+    between, end = F.when(F.col("lang") == "fr", " & ").otherwise(""), F.when(F.col("lang") == "de", "").otherwise("</p>")
+    html = F.concat(F.lit('<html><body><div id="bodyContent"><p>'), between, anchors, end, F.lit("</div></body></html>"))
+    name = F.concat(F.when(F.col("lang") == "es", "D~").otherwise("D"), F.col("doc_id").cast("string"))
+    return docs.select(F.concat(name, F.lit(":"), html).alias("value"))
+
+
+def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as bz2 files and read back: from lines to pages with their links."""
+    folder = _folder(spark)
+    sinks.value_text(_crawl(spark, sf_dir), F.col("value"), folder, "bzip2")
+    return cut(links.strict_links(readers.pages(readers.lines(spark, f"{folder}/*.bz2"))))
+
+
+def crawl_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.vertices(_crawled(spark, sf_dir)).select("page", F.size("links").cast("long").alias("n_links"))
+
+
+def crawl_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From lines of a crawl to the hundred pages of highest rank."""
+    crawled = cut(graph.vertices(_crawled(spark, sf_dir)))
+    edges = cut(graph.edges_of(crawled))
+    ranks = pagerank.pagerank(graph.nodes(edges, crawled.select("page")), edges, 10)
+    return topk.top(ranks.select("page", F.round("rank", 9).alias("rank")), 100)
+
+
+def two_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders of lines read as one input."""
+    folder = _folder(spark)
+    sinks.value_text(_table(spark, sf_dir, "customer"), F.col("c_name"), f"{folder}/customers")
+    sinks.value_text(_table(spark, sf_dir, "supplier"), F.col("s_name"), f"{folder}/suppliers", "bzip2")
+    return readers.lines(spark, f"{folder}/customers", f"{folder}/suppliers").groupBy("value").agg(F.count("*").alias("n"))
+
+
+def single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k in one file, read back in its order."""
+    folder = _folder(spark)
+    sinks.single_text(topk.top(_degrees(spark, sf_dir), 100), render.named_rank(F.col("page"), F.col("rank")), folder)
+    found = cut(readers.lines(spark, folder).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")))
+    files = found.select("file").distinct().count()
+    # A hundred rows, in one file.
+    place = F.row_number().over(Window.orderBy("at")).cast("long")
+    return found.select(place.alias("place"), F.col("value").alias("line"), F.lit(files).cast("long").alias("n_files"))
+
+
+def station_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each station, in how many partitions its years lie, and whether each follows what it should."""
+    dealt = means.partitioned_by_station(_yearly(spark, sf_dir), 8)
+    rows = cut(dealt.select("station", "year", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    here = F.struct("station", "year")
+    before = F.lag(here).over(Window.partitionBy("part").orderBy("at"))
+    checked = rows.select("station", "part", F.coalesce(before < here, F.lit(True)).alias("after"))
+    return checked.groupBy("station").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"), F.bool_and("after").alias("in_order"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of means and of run times, read back."""
+    found = means.group_mean(_events(spark, sf_dir).where("element = 'purchase'"), "user_id")
+    path = sinks.station_log(found.select(F.col("user_id").alias("station"), F.round("mean", 9).alias("mean")), _folder(spark), datetime.datetime(2020, 1, 2, 15, 4), [40.0, 20.0, 60.0])
+    return readers.lines(spark, path).select("value", F.lit(path.rsplit("/", 1)[-1]).alias("log"))
+
+
+def means_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of lines of means; a missing mean is the word null."""
+    found = means.conditional_means(_events(spark, sf_dir), "user_id", of=VIEWED)
+    half = [F.round(F.when(F.col("user_id") % 2 == 0, F.col("mean_min")), 9), F.round("mean_max", 9)]
+    station = F.col("user_id").cast("string")
+    return found.select(render.means_line(station, *half).alias("line"), render.bar_line(station, half[1]).alias("bar"))
+
+
+def csv_short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views have no value, so their lines are too short and left out."""
+    value = F.when(F.col("event_type") == "view", "").otherwise(F.col("event_id").cast("string"))
+    written = _table(spark, sf_dir, "events").select(F.concat_ws(",", F.col("user_id"), F.date_format("ts", "yyyyMMdd"), "event_type", value, F.lit(""), F.lit("")).alias("value"))
+    return readers.readings(written, "long")
+
+
 def fib_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     return events.select("event_id", load.fib(spark, F.lit(17) + F.col("event_id") * 0).alias("fib"))
@@ -291,7 +405,8 @@ QUERIES = {
         year_zero_null_fill, series_rendered, csv_parse_filter, csv_fields, link_extract, link_targets, strict_pages, page_vertices,
         pages_first_record, pages_concatenated, adjacency_round_trip, graph_nodes, vertex_count, out_degree, in_degree, dangling, no_inlink,
         page_dictionary, transition_matrix, matrix_rows, matrix_columns, dangling_mass, total_rank, topk_pages, topk_named, topk_rendered,
-        fib_load, text_sinks, many_sinks,
+        fib_load, text_sinks, many_sinks, topk_formats, pagerank_top, pagerank_top_rendered, pagerank_top_named, crawl_vertices, crawl_top, two_paths,
+        single_file, station_partitions, log_lines, means_rendered, csv_short_lines,
     )
 } | {
     "pagerank_step": _ranks(1, "adjacency"),
@@ -312,8 +427,11 @@ _YEARLY = """
 _WORDS = r"SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM documents"
 _HREFS = """regexp_extract_all(html, 'href="([^"]*)"', 1)"""
 _EDGES = """edges AS MATERIALIZED (
-        SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND p_size <= 40
-        UNION ALL SELECT 'S' || l_suppkey, 'P' || l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A' AND p_size > 7),
+        SELECT CASE WHEN l_returnflag = 'A' THEN 'S' || l_suppkey WHEN l_returnflag = 'R' OR l_suppkey % 2 = 0 THEN 'P' || l_partkey
+                    ELSE 'D' || strftime(l_shipdate, '%Y%m%d') END AS src,
+               CASE WHEN l_returnflag = 'R' THEN 'S' || l_suppkey WHEN l_returnflag = 'A' OR l_suppkey % 2 <> 0 THEN 'P' || l_partkey
+                    ELSE 'L' || l_linenumber END AS dst
+        FROM lineitem),
     nodes AS MATERIALIZED (
         SELECT page, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, sum(o) = 0 AS dangling
         FROM (SELECT src AS page, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY page)"""
@@ -324,8 +442,8 @@ _MATRIX = f"""{_EDGES}, {_PAGES},
         FROM edges JOIN pages_d s ON s.page = src JOIN pages_d d ON d.page = dst JOIN nodes n ON n.page = src GROUP BY 1, 2)"""
 
 
-def _rank_ctes(iterations: int, lagged: bool = False) -> str:
-    out = [f"{_EDGES}, r0 AS MATERIALIZED (SELECT page, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
+def _rank_ctes(iterations: int, lagged: bool = False, edges: str = _EDGES) -> str:
+    out = [f"{edges}, r0 AS MATERIALIZED (SELECT page, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
     for k in range(1, iterations + 1):
         p = f"r{k - 1}"
         spread = "0" if lagged and k == iterations else f"(SELECT coalesce(sum(rank), 0) FROM {p} JOIN nodes USING (page) WHERE dangling)"
@@ -337,6 +455,13 @@ def _rank_ctes(iterations: int, lagged: bool = False) -> str:
     return "WITH " + ",\n    ".join(out)
 
 
+_CRAWL = """crawl AS (SELECT 'D' || doc_id AS page, list_append(regexp_extract_all(text, '[A-Za-z]+'), 'D' || (doc_id + 1)) AS w
+              FROM documents WHERE lang NOT IN ('de', 'es')),
+    edges AS MATERIALIZED (SELECT page AS src, unnest(w) AS dst FROM crawl),
+    nodes AS MATERIALIZED (
+        SELECT page, CAST(sum(o) AS BIGINT) AS out_degree, sum(o) = 0 AS dangling
+        FROM (SELECT src AS page, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY page)"""
+_TOP = "SELECT page, round(rank, 9) AS rank FROM r10 ORDER BY round(rank, 9) DESC, page DESC LIMIT 100"
 _TEN = _rank_ctes(10) + " SELECT page, round(rank, 9) AS rank FROM r10"
 
 ORACLES = {
@@ -388,6 +513,30 @@ ORACLES = {
     "topk_pages": f"WITH {_EDGES} SELECT page, CAST(in_degree AS DOUBLE) AS rank FROM nodes ORDER BY rank DESC, page DESC LIMIT 100",
     "topk_named": f"WITH {_EDGES}, {_PAGES} SELECT page_id, page, CAST(in_degree AS DOUBLE) AS rank FROM nodes JOIN pages_d USING (page) ORDER BY rank DESC, page_id DESC LIMIT 100",
     "topk_rendered": f"WITH {_EDGES} SELECT printf('%s:%.15f', page, CAST(in_degree AS DOUBLE)) AS line FROM nodes ORDER BY in_degree DESC, page DESC LIMIT 100",
+    "topk_formats": f"""WITH {_EDGES}, best AS (SELECT page, CAST(in_degree AS DOUBLE) AS rank FROM nodes ORDER BY rank DESC, page DESC LIMIT 100)
+        SELECT 'named' AS form, printf('%s:%.15f', page, rank) AS line FROM best
+        UNION ALL SELECT 'ranked', rank || ':' || page FROM best UNION ALL SELECT 'pair', '(' || rank || ',' || page || ')' FROM best""",
+    "pagerank_top": f"{_rank_ctes(10)} {_TOP}",
+    "pagerank_top_rendered": f"{_rank_ctes(10)} SELECT printf('%s:%.15f', page, rank) AS line FROM ({_TOP})",
+    "pagerank_top_named": f"{_rank_ctes(10)}, {_PAGES} SELECT page_id, page, rank FROM ({_TOP}) JOIN pages_d USING (page)",
+    "crawl_vertices": f"WITH {_CRAWL} SELECT page, out_degree AS n_links FROM nodes",
+    "crawl_top": f"{_rank_ctes(10, edges=_CRAWL)} {_TOP}",
+    "two_paths": "SELECT value, count(*) AS n FROM (SELECT c_name AS value FROM customer UNION ALL SELECT s_name FROM supplier) GROUP BY value",
+    "single_file": f"""WITH {_EDGES} SELECT row_number() OVER (ORDER BY in_degree DESC, page DESC) AS place, printf('%s:%.15f', page, CAST(in_degree AS DOUBLE)) AS line,
+        CAST(1 AS BIGINT) AS n_files FROM nodes ORDER BY place LIMIT 100""",
+    "station_partitions": f"SELECT station, count(*) AS n, CAST(1 AS BIGINT) AS parts, true AS in_order FROM ({_YEARLY}) GROUP BY station",
+    "log_lines": f"""SELECT value, '2020_01_02_03_04' AS log FROM (
+        SELECT user_id || '|' || round(avg(value), 9) AS value FROM ({_EVENTS}) WHERE element = 'purchase' GROUP BY user_id
+        UNION ALL SELECT unnest(['Average Running Time:40.0 ms', 'Minimum Running Time:20.0 ms', 'Maximum Running Time:60.0 ms']))""",
+    "means_rendered": f"""SELECT concat_ws(', ', user_id, coalesce(CAST(lo AS VARCHAR), 'null'), coalesce(CAST(hi AS VARCHAR), 'null')) AS line, concat_ws('|', user_id, hi) AS bar
+        FROM (SELECT user_id, round(avg(value) FILTER (WHERE element = 'view' AND user_id % 2 = 0), 9) AS lo, round(avg(value) FILTER (WHERE element = 'purchase'), 9) AS hi
+              FROM ({_EVENTS}) WHERE element IN ('view', 'purchase') GROUP BY user_id)""",
+    "csv_short_lines": """SELECT CAST(user_id AS VARCHAR) AS station, strftime(ts, '%Y%m%d') AS date, event_type AS element, event_id AS value
+        FROM events WHERE event_type <> 'view'""",
+    "series_rendered": f"""SELECT station || ', [' || string_agg('(' || year || ', ' || lo || ', ' || hi || ')', ', ' ORDER BY year) || ']' AS line
+        FROM (SELECT station, year, coalesce(CAST(mean_tmin AS VARCHAR), CASE WHEN lead(year) OVER w IS NULL THEN 'null' ELSE '0' END) AS lo,
+                     coalesce(CAST(mean_tmax AS VARCHAR), CASE WHEN lead(year) OVER w IS NULL THEN 'null' ELSE '0' END) AS hi
+              FROM ({_YEARLY}) WINDOW w AS (PARTITION BY station ORDER BY year)) GROUP BY station""",
     "fib_load": "SELECT event_id, CAST(1597 AS BIGINT) AS fib FROM events",
     "text_sinks": f"""SELECT word || chr(9) || cnt AS value, CAST(1 AS BIGINT) AS keyed, CAST(1 AS BIGINT) AS plain
         FROM (SELECT word, count(*) AS cnt FROM (SELECT unnest(w) AS word FROM ({_WORDS})) GROUP BY word)""",
