@@ -296,6 +296,34 @@ def test_jaccard_finds_every_link_near_the_threshold(spark, seed):
     assert collected(jaccard.components_of(frame(spark, rows, False)), "doc_id", "n_shingles", "component_id") == brute_links(rows, 5, 75)
 
 
+def test_jaccard_of_slots(spark):
+    """Texts of three slots with seven fillings each: all share much, and link only where two slots are equal."""
+    rng = np.random.default_rng(9)
+    slots = [[" ".join(f"s{k}x{f}y{w}" for w in range(14 + 2 * k)) for f in range(7)] for k in range(3)]
+    common = " ".join(f"c{w}" for w in range(70))
+    rows = [(int(i), " ".join([common, *(slots[k][int(f)] for k, f in enumerate(rng.integers(0, 7, 3)))])) for i in rng.permutation(120)]
+    assert collected(jaccard.components_of(frame(spark, rows, False)), "doc_id", "n_shingles", "component_id") == brute_links(rows, 5, 75)
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "200"])
+def test_links_do_not_depend_on_partitions(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        some = [r for r in ROWS if len(r[1] or "") < 5000]
+        found = jaccard.signatures(frame(spark, some, False), 5, 75).select("doc_id", "n", "digest", "alone", "prefix", "shared", "sketch").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    once = {}
+    for r in found:
+        once.setdefault((r.doc_id, bytes(r.digest)), set()).add((r.n, r.alone, r.prefix and bytes(r.prefix), r.shared and bytes(r.shared), r.sketch))
+    SIGNED.append(once)
+    assert all(x == SIGNED[0] for x in SIGNED)
+
+
+SIGNED = []
+
+
 def test_suffix_filter_never_drops_a_link():
     rng = np.random.default_rng(0)
     edges = np.array([i << 60 for i in range(1, 16)], np.uint64)

@@ -1,6 +1,9 @@
 """Classifiers: held-out accuracy, what they never see, awkward rows."""
 
+import re
 import zlib
+from collections import Counter
+from math import log1p, log2
 
 import numpy as np
 import pytest
@@ -94,3 +97,84 @@ def test_scores_are_sums_of_lookups():
     margin = model.base + sum(t[b] for t, b in zip(model.tables, at, strict=True)) + model.pair_tables[0][at[0], at[1]]
     assert model.score(x[:1])[0] == pytest.approx(1 / (1 + np.exp(-margin)))
     assert quality.fit(np.zeros((0, 2)), np.zeros(0)).score(np.zeros((1, 2)))[0] == 0.5
+
+
+TEXTS = ["", "a", "One two, THREE four!\nfive  6\n\nfive  6\n|#$ end.", "é日本 ñandú 😀 x" * 3, "aaaa\tbbbb" + "z" * 700 + " tail", " \n\n ", "w " * 400 + "\r\nQ? 'q' (r)-s;"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_quality_features_by_plain_counting(text):
+    b = text.encode()
+    found = dict(zip(quality.FEATURES, quality.features(np.frombuffer(b, np.uint8)), strict=True))
+    if not b:
+        assert not any(found.values())
+        return
+    n, words, lines = len(b), [w for w in re.split(rb"[\x20\t-\r]+", b) if w], [x for x in b.split(b"\n") if x]
+    some, n_words = [len(w) for w in words] or [0], max(1, len(words))
+    upper, lower = sum(65 <= c <= 90 for c in b), sum(97 <= c <= 122 for c in b)
+    mark, digit = b".,;:?!'\"()-", b"0123456789"
+    plain = lambda c: 33 <= c <= 126 and c not in mark and c not in digit and not chr(c).isalpha()
+    most = max((len(m[0]) for m in re.finditer(rb"(.)\1*", b, re.S)), default=0)
+    wanted = {
+        "log_bytes": log1p(n), "log_words": log1p(len(words)), "upper_share": upper / max(1, upper + lower), "digit_share": sum(c in digit for c in b) / n,
+        "space_share": b.count(b" ") / n, "line_share": b.count(b"\n") / n, "control_share": sum((c < 32 and c != 10) or c == 127 for c in b) / n,
+        "mark_share": sum(c in mark for c in b) / n, "sign_share": sum(map(plain, b)) / n, "beyond_share": sum(c >= 0xC0 for c in b) / n,
+        "exclamation_share": b.count(b"!") / n, "bar_share": b.count(b"|") / n, "hash_share": sum(c in b"#$%&*" for c in b) / n,
+        "mean_word": sum(some) / n_words, "long_word": max(some), "distinct_words": max(1, len(set(words))) / n_words, "top_word": max(Counter(words).values(), default=0) / n_words,
+        "two_byte_words": sum(len(w) <= 2 for w in words) / n_words, "signed_words": sum(plain(w[-1]) for w in words) / n_words, "upper_words": sum(65 <= w[0] <= 90 for w in words) / n_words,
+        "entropy": -sum(c / n * log2(c / n) for c in Counter(b).values()), "mean_line": log1p(sum(map(len, lines)) / len(lines)) if lines else 0,
+        "repeated_lines": 1 - len(set(lines)) / max(1, len(lines)), "longest_run": log1p(most),
+    }
+    assert wanted.keys() == found.keys()
+    assert {k: found[k] for k in wanted} == pytest.approx(wanted)
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_toxicity_features_by_plain_counting(text):
+    """Each word and each beginning of a longer word is one feature, at the level of its share of the words."""
+    low = "".join(c.lower() if c.isascii() else c for c in text).encode()
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", low)
+    parts = [(p, w[:p] if p else w) for w in words for p in toxicity.PARTS if not p or len(w) > p]
+    number = {}
+    for p, x in set(parts):
+        h, _ = toxicity.hashed(np.frombuffer(x + b"q" if p else x, np.uint8))
+        # Of a word by itself: the whole word first, then its beginnings in the order of PARTS.
+        number[p, x] = int(h[[q for q in toxicity.PARTS if not q or len(x) + bool(p) > q].index(p)])
+    wanted = Counter(number[x] for x in parts)
+    found, n_words = toxicity.hashed(np.frombuffer(text.encode(), np.uint8))
+    assert n_words == len(words) and Counter(found.tolist()) == wanted
+    got = {int(x) >> toxicity.LEVEL_BITS: int(x) & 7 for x in toxicity.levels(found, n_words)}
+    assert got == {k: sum(c / max(1, n_words) >= s for s in toxicity.SHARES) for k, c in wanted.items()}
+
+
+def test_risk_by_its_formula():
+    """The score that fitting ends with has a lower non-negative risk than any score without features."""
+    rng = np.random.default_rng(3)
+    text = lambda *more: toxicity.levels(*toxicity.hashed(np.frombuffer(" ".join([*rng.choice([f"w{i}" for i in range(50)], 30), *more]).encode(), np.uint8)))
+    positives, unlabelled, prior = [text("vile") for _ in range(60)], [text(*(["vile"] if k % 10 == 0 else [])) for k in range(200)], 0.1
+    model = toxicity.fit(positives, unlabelled, prior)
+
+    def risk(score):
+        fp, fu = (np.array([score(x) for x in rows]) for rows in (positives, unlabelled))
+        return prior * np.logaddexp(0, -fp).mean() + max(0.0, np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
+
+    ids = lambda x: x >> toxicity.LEVEL_BITS
+    fitted = risk(lambda x: model.intercept + model.present[ids(x)].sum() + (model.dense[ids(x)] * toxicity.VALUES[x & 7]).sum())
+    assert fitted < 0.5 * min(risk(lambda x, b=b: b) for b in np.linspace(-6, 2, 33))
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_scores_of_rows_are_those_of_their_texts(spark, module):
+    """The query's scores against the model applied text by text."""
+    if module is quality:
+        rng = np.random.default_rng(0)
+        x = np.array([quality.features(np.frombuffer(t.encode(), np.uint8)) for t in TEXTS * 20]) + rng.random((len(TEXTS) * 20, len(quality.FEATURES)))
+        model = quality.fit(x, (x[:, 0] > 3).astype(float), rounds=5, pair_rounds=2)
+        one = lambda d: float(model.score(quality.features(d)[None])[0])
+    else:
+        model = toxicity.Model(np.linspace(-1, 1, 1 << toxicity.BITS), np.linspace(1, -1, 1 << toxicity.BITS), -0.3)
+        one = model.score
+    found = module.scored(frame(spark, list(enumerate([*TEXTS, None])), False), model, 0.4).collect()
+    for r in found:
+        wanted = one(np.frombuffer((r.text or "").encode(), np.uint8))
+        assert r.score == pytest.approx(wanted) and r.predicted == (wanted >= 0.4)
