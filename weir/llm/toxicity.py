@@ -44,6 +44,10 @@ VALUES = np.array([0.05, 0.2, 0.4, 0.75, 1.5, 3.0])
 LEVEL_BITS, DENSE = 3, 3
 
 
+#: A feature is looked at if so many positives have it, however many positives there are.
+LEAST = 4
+
+
 def hashed(data: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Hashed features of a text, with repeats, and its number of words. wanted: only features that are true there."""
     starts, ends, words = B.word_hashes(data, IS_WORD, B.SYMBOL_LOWER)
@@ -93,8 +97,8 @@ class Rows:
         return np.bincount(self.column, values[self.row] * self.value, self.width)
 
 
-def select(positives: list[np.ndarray], unlabelled: list[np.ndarray], kept: int, deviations: float) -> np.ndarray:
-    """Up to `kept` features, one after the other: each stands out most among the positives, by presence or by being
+def select(positives: list[np.ndarray], unlabelled: list[np.ndarray], deviations: float) -> np.ndarray:
+    """Features, one after the other while any is left that stands out by `deviations`: each stands out most among the positives, by presence or by being
     dense, against the unlabelled set, of the documents that have none chosen before. So beginnings of a telling word
     that other words share, and words that only go along with it, aren't chosen besides it. Of a million hashed
     features some thousand stand out by three standard errors by chance, and copies of a text by more; hence
@@ -102,7 +106,7 @@ def select(positives: list[np.ndarray], unlabelled: list[np.ndarray], kept: int,
     n_p, n_u = len(positives), len(unlabelled)
     # Twice the feature, plus one for the dense kind.
     both = [np.concatenate([x >> LEVEL_BITS << 1, (x[(x & 7) >= DENSE] >> LEVEL_BITS << 1) | 1]) for x in positives]
-    usable = np.flatnonzero(np.bincount(np.concatenate(both), minlength=2 << BITS) >= max(4, n_p // 200))
+    usable = np.flatnonzero(np.bincount(np.concatenate(both), minlength=2 << BITS) >= LEAST)
     place = np.full(2 << BITS, -1, np.int32)
     place[usable] = np.arange(len(usable))
     rows = []
@@ -118,11 +122,11 @@ def select(positives: list[np.ndarray], unlabelled: list[np.ndarray], kept: int,
     p, u = (np.bincount(np.concatenate([np.zeros(0, np.int32), *x]), minlength=len(usable)).astype(float) for x in (rows[:n_p], rows[n_p:]))
     whole_p, whole_u = p.copy(), u.copy()
     left, chosen = np.ones(len(rows), bool), []
-    while len(chosen) < kept and len(usable):
+    while len(usable):
         share = (p + u) / (n_p + n_u)
         apart = (p / n_p - u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_p + 1 / n_u))
         best = int(apart.argmax())
-        if apart[best] <= deviations or p[best] < 4:
+        if apart[best] <= deviations or p[best] < LEAST:
             break
         chosen.append(usable[best] >> 1)
         gone = of_column[bounds[best] : bounds[best + 1]]
@@ -133,18 +137,17 @@ def select(positives: list[np.ndarray], unlabelled: list[np.ndarray], kept: int,
     # And what telling words go along with almost wherever it stands, if it stands in many positives: telling too.
     alone = u / np.maximum(whole_u, 1)
     more = np.flatnonzero((whole_p >= 0.05 * n_p) & (whole_p / n_p > 4 * whole_u / n_u) & (alone <= 0.1))
-    more = more[np.argsort(alone[more] - whole_p[more] / n_p, kind="stable")][: kept - len(chosen)]
     return np.unique(np.array([*chosen, *(usable[more] >> 1)], np.int64))
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, kept: int = 64, deviations: float = 4.5, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, deviations: float = 4.5, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """positives, unlabelled: levels() of each document."""
     present, dense = np.zeros(1 << BITS), np.zeros(1 << BITS)
     if not positives or not unlabelled or prior <= 0:
         return Model(present, dense, -40.0)
     prior = min(prior, 0.95)
     n_p, n_u = len(positives), len(unlabelled)
-    chosen = select(positives, unlabelled, kept, deviations)
+    chosen = select(positives, unlabelled, deviations)
     k = len(chosen)
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(k)
@@ -177,7 +180,7 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(present, dense, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positives: int = 2000, most_unlabelled: int = 4000, prior: float | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positives: int = 2000, most_unlabelled: int = 8000, prior: float | None = None) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Fits on at most so many confirmed positives and unlabelled texts, of
     rows that aren't held out; prior: the share of toxic documents, if known, or else the labels' own."""
     known = labelled.label_of(labels, "toxic")
