@@ -121,6 +121,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int =
         passes.append(scratch.save(texts.mapInArrow(B.released(_hits(known)), "digest string, bits binary, items array<string>").dropDuplicates(["digest"]), f"pass-{b}"))
         known.destroy()
     of_text = scratch.save(reduce(DataFrame.union, passes).groupBy(F.col("digest").alias(digest)).agg(F.collect_list(F.struct("bits", "items")).alias(hits)), "hits")
+    scratch.keep("hits")
     return _found(keyed.join(of_text, digest, "left").select(*columns(names), hits), names, text_col, hits, None)
 
 

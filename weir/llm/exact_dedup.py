@@ -114,7 +114,7 @@ class DigestIndex:
             .select("digest", "keep_id", "group_size", F.lit(True).alias("copied")),
             "copied",
         )
-        scratch.drop("classes")
+        scratch.keep("digests", "copied")
         return (
             digests.join(copied, "digest", "left")
             .withColumn("keep_id", F.when(F.col("copied"), F.col("keep_id")).otherwise(F.col("doc_id")))

@@ -256,6 +256,7 @@ def components_of(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     of_class = scratch.save(
         placed.where("linked OR copied").join(of_root, "root", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id")), "components"
     )
+    scratch.keep("signatures", "components")
     return (
         signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
         .join(of_class, "digest", "left")

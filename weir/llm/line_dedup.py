@@ -141,6 +141,7 @@ def dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: st
         repeats(docs.select(column(id_col).cast("long").alias("doc_id"), text_hash.alias(KEY), column(text_col).alias("text")), window, long_words, scratch),
         "repeats",
     )
+    scratch.keep("repeats")
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

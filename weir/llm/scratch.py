@@ -114,3 +114,10 @@ class Scratch:
         """Removes these tables, or else the whole folder."""
         for at in [f"{self.path}/{name}" for name in names] or [self.path]:
             remove(self.spark, at)
+
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these, which a result that is not computed yet reads."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = [x.getPath().getName() for x in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
+        if gone := set(found) - set(names):
+            self.drop(*sorted(gone))

@@ -282,7 +282,7 @@ def dedup(docs: DataFrame, length: int = 100, gram: int = 40, shard_bytes: int =
     live = scratch.save(shared(texts, anchors.hashes, 2 * text_bytes(texts) // (length - gram + 1)), "live")
     runs = repeats(texts, live.dropDuplicates([ID, HASH]), anchors, scratch, shard_bytes, most_classes)
     by_doc = scratch.save(runs.groupBy(ID, HASH).agg(F.collect_set(F.struct("start", "windows")).alias("weir_runs")), "runs")
-    scratch.drop("live", "index", "classes", "several", "stretches", "sorted", "each", "earliest", "copied")
+    scratch.keep("texts", "runs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
