@@ -45,7 +45,7 @@ from .scratch import Scratch, column, mapped, prepare, text_bytes
 from .sharing import exchanged
 
 #: A block has at most so many documents (their places take 16 bits) and, but for its last, so many shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 1 << 16, 2 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 1 << 16, 1 << 20
 #: A word and the space after it take about so many bytes, from which the number of shingles is guessed.
 WORD_BYTES = 6
 IS_WORD = ~B.SPACE

@@ -28,7 +28,7 @@ from . import bytesops as B
 #: A block is closed when it has so many hashes; a longer document is a block by itself.
 BLOCK_HASHES = 1 << 20
 #: About so many hashes are counted in one task.
-BUCKET_HASHES = 3 << 20
+BUCKET_HASHES = 2 << 20
 _LOW = np.uint64((1 << 48) - 1)
 _ROWS = "block long, kind int, n int, start int, payload binary"
 
