@@ -1,6 +1,7 @@
 """The dedup operators against brute force: exact, lines, substrings, near copies."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter, defaultdict
 
@@ -335,6 +336,34 @@ def test_suffix_filter_never_drops_a_link():
         assert jaccard.linked(n1, n2, a, b, 75, edges) == (100 * both >= 75 * (n1 + n2 - both))
 
 
+def test_parities_are_a_lower_bound():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 60, 3000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, size + k, dtype=np.uint64) * np.uint64(2)) for k in range(2))
+        b = np.union1d(a[::2], b)
+        differ = sum(int(x).bit_count() for x in (jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+        assert not (jaccard.parities(a) ^ jaccard.parities(a[::-1])).any()
+    one, none = jaccard.parities(np.array([7 << 32], np.uint64)), jaccard.parities(np.zeros(0, np.uint64))
+    assert sum(int(x).bit_count() for x in (one ^ none).view(np.uint64)) == 1
+
+
+def test_jaccard_pairs_of_slots(spark, monkeypatch):
+    """Texts of four slots of which none link: no more pairs are verified than there are postings."""
+    texts = [" ".join(f"s{s}f{f}w{w}" for s, f in enumerate(fills) for w in range(20)) for fills in itertools.product(range(6), repeat=4)]
+    rows, seen, save = list(enumerate(texts)), {}, jaccard.Scratch.save
+
+    def counted(self, df, name):
+        made = save(self, df, name)
+        seen[name] = made.count() if name in ("postings", "pairs", "rest") else None
+        return made
+
+    monkeypatch.setattr(jaccard.Scratch, "save", counted)
+    found = jaccard.components_of(frame(spark, rows, False)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [(i, 76, i) for i in range(len(rows))]
+    assert seen["pairs"] + seen["rest"] <= seen["postings"]
+
+
 def test_hashes_travel_whole():
     rng = np.random.default_rng(4)
     for n in (1, 2, 7, 5000):

@@ -11,7 +11,8 @@ empty set, which links with nothing). Two documents link when 100 * intersection
 2. Documents of equal word sequences are one class; its smallest id stands for it from here on.
 3. Prefixes are joined by shingle in two rounds. The first pairs each posting list's pivot with the rest of the list,
    which finds large groups of near copies in as many pairs as there are postings. The second takes only pairs whose
-   documents are not yet known to be connected: in each list, documents outside its largest component against all.
+   documents are not yet known to be connected: in each list, documents outside its largest component against all,
+   with a finer suffix filter (a lower bound from the parities of the counts in 256 ranges).
    Pairs pass the length filter, the positional filter (what can follow the shared place in both) and the suffix
    filter (a lower bound of the Hamming distance from counts in eight ranges of hashes, which postings bring along)
    before any set travels. Each pair is then verified once, by a finer suffix filter and the intersection of the
@@ -51,7 +52,9 @@ WORD_BYTES = 6
 IS_WORD = ~B.SPACE
 #: The bounds of sixteen ranges of hashes.
 EDGES = np.array([i << 60 for i in range(1, 16)], np.uint64)
-SIGNATURES = "node long, doc_id long, n int, digest binary, alone int, prefix binary, shared binary, sketch long"
+#: Ranges whose parities the second round compares.
+ODD = 256
+SIGNATURES = "node long, doc_id long, n int, digest binary, alone int, prefix binary, shared binary, sketch long, odd array<long>"
 
 
 def shingles(data: np.ndarray, size: int) -> tuple[np.ndarray, bytes | None]:
@@ -63,6 +66,13 @@ def shingles(data: np.ndarray, size: int) -> tuple[np.ndarray, bytes | None]:
     return np.unique(found), blake2b(words.tobytes(), digest_size=16).digest()
 
 
+def parities(shared: np.ndarray) -> np.ndarray:
+    """A bit for each of ODD ranges of hashes, set where an odd number of the set's lie in it: sets differ by as many
+    hashes at least as their parities differ by bits."""
+    counts = np.bincount((shared >> np.uint64(32)).astype(np.int64) & (ODD - 1), minlength=ODD)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _needed(n: int | np.ndarray, percent: int):
     """The least intersection of a set of n with any set that it links with."""
     return -(-percent * n // 100)
@@ -71,8 +81,8 @@ def _needed(n: int | np.ndarray, percent: int):
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """docs: doc_id, text. For each row: node (a number of its own), doc_id, n (the size of its set), digest; and for
     those that can have partners alone (shingles that no other document has), prefix (the shared shingles of its
-    prefix, rare first), shared (all shared shingles, ascending) and sketch (how many of them lie in each eighth of
-    all hashes, eight bits each)."""
+    prefix, rare first), shared (all shared shingles, ascending), sketch (how many of them lie in each eighth of
+    all hashes, eight bits each) and odd (parities())."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         from pyspark import TaskContext
@@ -120,11 +130,13 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         prefix: list[bytes | None] = [None] * n_docs
         shared: list[bytes | None] = [None] * n_docs
         sketch: list[int | None] = [None] * n_docs
+        odd: list[np.ndarray | None] = [None] * n_docs
         for r in np.flatnonzero(length > 0).tolist():
             k, v = key[bounds[r] : bounds[r + 1]], level[bounds[r] : bounds[r + 1]]
             prefix[r] = k[np.lexsort((k, v))[: length[r]]].tobytes()
             shared[r] = np.sort(k).tobytes()
             sketch[r] = int.from_bytes(np.minimum(np.bincount((k >> np.uint64(61)).astype(np.int64), minlength=8), 255).astype(np.uint8).tobytes(), "little", signed=True)
+            odd[r] = parities(k)
         return pa.Table.from_arrays(
             [
                 pa.array((np.int64(number) << 16) + np.arange(n_docs)),
@@ -135,8 +147,9 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 pa.array(prefix, pa.binary()),
                 pa.array(shared, pa.binary()),
                 pa.array(sketch, pa.int64()),
+                pa.array(odd, pa.list_(pa.int64())),
             ],
-            names=["node", "doc_id", "n", "digest", "alone", "prefix", "shared", "sketch"],
+            names=["node", "doc_id", "n", "digest", "alone", "prefix", "shared", "sketch", "odd"],
         )
 
     return exchanged(docs, text_bytes(docs) // WORD_BYTES, blocks, "<u2", True, settled, SIGNATURES)
@@ -169,6 +182,12 @@ def _near(percent: int, x: Callable[[str], Column], y: Callable[[str], Column])
     )
 
 
+def _finer(percent: int, x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """The suffix filter by the parities of 256 ranges, whose bits say more than few counts do while sets are small."""
+    apart = reduce(Column.__add__, (F.bit_count(x("odd")[i].bitwiseXOR(y("odd")[i])) for i in range(ODD // 64))) + x("alone") + y("alone")
+    return (100 + percent) * apart <= (100 - percent) * (x("n") + y("n"))
+
+
 def linked(n1: int, n2: int, shared1: np.ndarray, shared2: np.ndarray, percent: int, edges: np.ndarray = EDGES) -> bool:
     """The suffix filter on the counts between edges, then the intersection itself."""
     least = -(-percent * (n1 + n2) // (100 + percent))
@@ -238,10 +257,12 @@ def components_of(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     )
     of_key = named.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("most"))
     mixed = scratch.save(of_key.where("roots > 1").select("key", F.col("most.root").alias("main")), "mixed")
-    outside = scratch.save(named.join(mixed, "key").where("root <> main").select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "alone", "sketch", "at", "root"))), "outside")
+    met = scratch.save(named.join(mixed, "key").join(sets.select("node", "odd"), "node"), "met")
+    outside = scratch.save(met.where("root <> main").select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "alone", "sketch", "odd", "at", "root"))), "outside")
+    second = lambda c: F.col(f"{c}_2")
     rest = scratch.save(
-        named.join(outside, "key")
-        .where((F.col("root") != F.col("root_2")) & _near(percent, F.col, lambda c: F.col(f"{c}_2")))
+        met.join(outside, "key")
+        .where((F.col("root") != F.col("root_2")) & _near(percent, F.col, second) & _finer(percent, F.col, second))
         .select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti"),
