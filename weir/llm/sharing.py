@@ -9,7 +9,7 @@ where its answers are put together. All travels as packed arrays, never a row fo
 Hashes are compared by all their 64 bits. A bucket is a range of them: those that are sent are ascending, so their
 high 16 bits are written as one bit for each hash and for each step, and only their low 48 bits in full. There are as
 many buckets as the corpus needs for each to hold about BUCKET_HASHES, and one for each shuffle partition at least;
-each is a partition by itself.
+each is a partition by itself. Blocks are put together in as many partitions, so neither grows with the corpus.
 
 Defined cases: documents without hashes have no bits; an empty table has no blocks.
 """
@@ -160,6 +160,7 @@ def exchanged(docs: DataFrame, hashes: int, blocks: Callable, place: str, with_k
         docs.mapInArrow(B.released(deal), f"bucket int, {_ROWS}")
         .repartitionById(len(bounds) + 1, F.col("bucket"))
         .mapInArrow(B.released(count), _ROWS)
+        .repartition(len(bounds) + 1, "block")
         .groupBy("block")
         .applyInArrow(B.released_group(settle), schema)
     )
